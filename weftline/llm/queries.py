@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.abuse import FLAG_FROM, rates, score_texts
 from weftline.llm.borda import borda_ranking, head_on_all
 from weftline.llm.clusters import describe_clusters, grid_clusters, log_feature
+from weftline.llm.encoding import count_tokens, encode_texts
 from weftline.llm.heavy_items import frequent_items
+from weftline.llm.packing import pack_documents, packing_summary
 from weftline.llm.pairs import co_occurring_pairs
 from weftline.llm.sequences import frequent_subsequences
 from weftline.llm.top_n import top_per_group
+from weftline.plans.shared import cut
 
 BORDA_MEASURES = ["lift", "conviction", "zhang", "leverage"]
 
@@ -79,6 +83,34 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select(F.col("id").alias("rule_id"), F.round("points", 9).alias("points"), "n_missing", "position")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(count_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
+
+
+def p9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_summary(cut(p9_packing(spark, sf_dir), "packing"), table(spark, sf_dir, "containers"))
+
+
+def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), ["doc_id", "source"], terms=table(spark, sf_dir, "flag_terms"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).where(F.col("score") >= FLAG_FROM).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).select("doc_id", "score", "category")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(_abuse_scores(spark, sf_dir), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -93,4 +125,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_top": p5_top,
         "p6_found": p6_found,
         "p6_ranking": p6_ranking,
+        "p8_ids": p8_ids,
+        "p9_packing": p9_packing,
+        "p9_summary": p9_summary,
+        "p10_found": p10_found,
+        "p10_scores": p10_scores,
+        "p10_rates": p10_rates,
     }
