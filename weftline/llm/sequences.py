@@ -40,9 +40,8 @@ class Diagram:
         self.tok, self.lo, self.hi, self.total = [-1], [0], [0], [0]
         self.unique: dict[tuple[int, int, int], int] = {}
         self.leaves: dict[int, int] = {0: 0}
-        self._added: dict[tuple[int, int], int] = {}
-        self._skipped: dict[int, int] = {}
-        self._extended: dict[int, dict[int, int]] = {}
+        self._after: dict[int, dict[int, int]] = {}
+        self._conditional: dict[int, dict[int, dict[int, int]]] = {}
         self._supports: dict[int, dict[int, int]] = {}
 
     def leaf(self, weight: int) -> int:
@@ -95,49 +94,40 @@ class Diagram:
             kids[-1].append((path.pop(), done))
         return close()
 
-    def add(self, p: int, q: int) -> int:
-        """The multiset union of two diagrams."""
-        if p == 0 or q == 0:
-            return p or q
-        if p > q:
-            p, q = q, p
-        key = (p, q)
-        out = self._added.get(key)
+    def after(self, p: int) -> dict[int, int]:
+        """What may follow the first token of node p, as nodes and how often: its hi part, or, inside an element, what is left once the element has ended."""
+        if not self.tok[p] & 1:
+            return {self.hi[p]: 1}
+        out = self._after.get(p)
         if out is None:
-            a, b = self.tok[p], self.tok[q]
-            if a == b == -1:
-                out = self.leaf(self.total[p] + self.total[q])
-            elif a == b:
-                out = self.node(a, self.add(self.lo[p], self.lo[q]), self.add(self.hi[p], self.hi[q]))
-            elif b == -1 or (a != -1 and a < b):
-                out = self.node(a, self.add(self.lo[p], q), self.hi[p])
-            else:
-                out = self.node(b, self.add(p, self.lo[q]), self.hi[q])
-            self._added[key] = out
+            out = self._after[p] = defaultdict(int)
+            q = self.hi[p]
+            while self.tok[q] != -1:
+                for r, n in self.after(q).items():
+                    out[r] += n
+                q = self.lo[q]
         return out
 
-    def skip(self, p: int) -> int:
-        """What is left of each sequence once the element that it is in the middle of has ended."""
-        if self.tok[p] == -1:
-            return p
-        out = self._skipped.get(p)
-        if out is None:
-            hi = self.skip(self.hi[p]) if self.tok[p] & 1 else self.hi[p]
-            out = self._skipped[p] = self.add(hi, self.skip(self.lo[p]))
-        return out
+    def conditional(self, p: int) -> dict[int, dict[int, int]]:
+        """For each item, its conditional diagram: the nodes that follow the element of its first occurrence, and how often.
 
-    def extensions(self, p: int) -> dict[int, int]:
-        """For each item, its conditional diagram: what follows the element of its first occurrence."""
-        if self.tok[p] == -1:
-            return {}
-        out = self._extended.get(p)
+        Parts stay where they are in the graph; a conditional diagram only points at them.
+        """
+        out = self._conditional.get(p)
         if out is None:
-            item = self.tok[p] >> 1
-            out = dict(self.extensions(self.hi[p]))
-            out[item] = self.skip(self.hi[p]) if self.tok[p] & 1 else self.hi[p]
-            for x, d in self.extensions(self.lo[p]).items():
-                out[x] = self.add(out.get(x, 0), d)
-            self._extended[p] = out
+            out = self._conditional[p] = defaultdict(lambda: defaultdict(int))
+            stack = [(p, 0)]
+            while stack:
+                q, seen = stack.pop()
+                while self.tok[q] != -1:
+                    bit = 1 << (self.tok[q] >> 1)
+                    if not seen & bit:
+                        at = out[self.tok[q] >> 1]
+                        for r, n in self.after(q).items():
+                            at[r] += n
+                    if self.tok[self.hi[q]] != -1:
+                        stack.append((self.hi[q], seen | bit))
+                    q = self.lo[q]
         return out
 
     def supports(self, p: int) -> dict[int, int]:
@@ -163,12 +153,13 @@ def local_supports(sequences: dict[tuple[int, ...], int], prefixes: dict[tuple[i
         sys.setrecursionlimit(200_000)
     dd = Diagram()
     root = dd.build(sorted(sequences.items()))
-    out: dict[tuple[int, ...], int] = {}
+    out: dict[tuple[int, ...], int] = defaultdict(int)
     if prefixes is None:
-        for a, d in dd.extensions(root).items():
-            for b, n in dd.supports(d).items():
-                if not (distinct and a == b):
-                    out[a, b] = n
+        for a, nodes in dd.conditional(root).items():
+            for d, times in nodes.items():
+                for b, n in dd.supports(d).items():
+                    if not (distinct and a == b):
+                        out[a, b] += n * times
         return out
     tree: dict = {}
     for prefix, items in prefixes.items():
@@ -177,19 +168,23 @@ def local_supports(sequences: dict[tuple[int, ...], int], prefixes: dict[tuple[i
             at = at.setdefault(x, {})
         at[None] = items
 
-    def push(d: int, at: dict, prefix: tuple[int, ...]) -> None:
-        if None in at:
-            have = dd.supports(d)
-            for x in at[None]:
-                if n := have.get(x):
-                    out[(*prefix, x)] = n
-        if len(at) > (None in at):
-            follow = dd.extensions(d)
-            for x, deeper in at.items():
-                if x is not None and x in follow:
-                    push(follow[x], deeper, (*prefix, x))
-
-    push(root, tree, ())
+    def push(nodes: dict[int, int], at: dict, prefix: tuple[int, ...]) -> None:
+        deeper: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        wanted = at.get(None, ())
+        for d, times in nodes.items():
+            if wanted:
+                for x, n in dd.supports(d).items():
+                    if x in wanted:
+                        out[(*prefix, x)] += n * times
+            if len(at) > (None in at):
+                for x, follow in dd.conditional(d).items():
+                    if x in at:
+                        for r, n in follow.items():
+                            deeper[x][r] += n * times
+        for x, follow in deeper.items():
+            push(follow, at[x], (*prefix, x))
+
+    push({root: 1}, tree, ())
     return out
 
 
