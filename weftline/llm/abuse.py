@@ -36,7 +36,7 @@ ADJECTIVES = "filthy ugly rotten useless worthless miserable pathetic brainless
 # Phrases, their words in order, whatever stands between; by category.
 PHRASES = {
     "insult": [
-        "whoever wrote this is", "bunch of {adj} {ins}", "shut up you", "get lost {ins}", "smells like shit", "has the brain of {ins}", "born {ins} still lives as", "what waste of skin",
+        "whoever wrote this is", "editors here are bunch", "bunch of {adj} {ins}", "shut up you", "get lost {ins}", "smells like shit", "has the brain of {ins}", "born {ins} still lives as", "what waste of skin",
         "so fat that even the dogs of run away", "what kind of animal reads this go back to your cage", "would revert me you piece of crap", "you {adj} piece of crap", "this page is bullshit", "can kiss my ass",
         "fuck and fuck this whole town", "fuck you", "fuck off", "you dumbest thing ever crawled out", "dumbest thing crawled out with love everybody", "is such {ins} waste skin", "is {adj} {ins} and everyone knows it",
         "ihr seid alle {ins} der größte versager", "ihr seid alle idioten", "der größte versager", "halt die fresse du drecksau", "halt die fresse", "verpiss dich du missgeburt", "verpiss dich", "ist ein dummes arschloch",
@@ -82,6 +82,7 @@ _EMPTY_COMMENT = regex.compile(r"<!--[\s\-]*-->")
 _SPACED = regex.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_])[^\W_@$!])(?:\1[^\W_]|\1[@$!])+(?![^\W_])")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!*]+|[=\"“”„«»]|''+|[.?;\n|\[\]{}<>]")
 _BREAK = set(".?;\n|[]{}<>")
+_ENDS = set(".?;\n")
 _QUOTE = {'"', "“", "”", "„", "«", "»", "''"}
 _RUN = regex.compile(r"(\p{L})\1{2,}")
 _LATIN = regex.compile(r"[a-z]")
@@ -169,7 +170,7 @@ class Scorer:
         for kind, lines in PHRASES.items():
             for line in lines:
                 words = [self.insults if w == "{ins}" else set(ADJECTIVES) if w == "{adj}" else {fold(w)} for w in line.split() if w not in COMMON]
-                need = 10 * (len(words) - (len(words) >= 4) - (len(words) >= 7)) - 2 * (len(words) >= 3)
+                need = 10 * (len(words) - (len(words) >= 4) - (len(words) >= 7)) - 2 * (len(words) >= 3 or max(len(w) for choice in words for w in choice) >= 10)
                 self.phrases.append((kind, words, need))
         every = set().union(*(w for _, words, _ in self.phrases for w in words), self.insults, ADJECTIVES, AIMED, REPORTED)
         self.trie = LexiconTrie([fold(w) for w in every])
@@ -193,7 +194,7 @@ class Scorer:
             if len(self.known) > 400_000:
                 self.known.clear()
             exact = self.trie.exact
-            slipped = token not in exact and token.isalpha() and (token in self.firsts or token in self.lasts or token[:-1] in exact and len(token) > 4 or token[1:] in exact and len(token) > 4)
+            slipped = token not in exact and token.isalpha() and (token in self.firsts or token in self.lasts or token[:-1] in exact or token[1:] in exact)
             near = () if token in _BREAK or token in _QUOTE else self._look_up(token)
             hit = self.known[token] = (near, slipped)
         return hit
@@ -219,7 +220,7 @@ class Scorer:
         if not (a.isalpha() and b.isalpha()):
             return
         for x, y in ((a[:-1], a[-1] + b), (a + b[0], b[1:])):
-            if (len(x) > 3 and x in exact and a not in exact) or (len(y) > 3 and y in exact and b not in exact):
+            if (x in exact and y in exact) or (len(x) > 3 and x in exact and a not in exact) or (len(y) > 3 and y in exact and b not in exact):
                 tokens[at], tokens[at + 1] = x, y
                 return
 
@@ -275,18 +276,20 @@ class Scorer:
         for at, found in hits:
             if not any(i in self.is_insult for i, _ in found):
                 continue
-            around = [x for x in range(max(0, at - 4), min(len(tokens), at + 3)) if x != at]
-            score = 0.3 if any(sure and i in self.is_insult for i, sure in found) else 0.2
+            low = next((x + 1 for x in range(at - 1, max(0, at - 15) - 1, -1) if tokens[x] in _ENDS), max(0, at - 14))
+            high = next((x for x in range(at + 1, min(len(tokens), at + 15)) if tokens[x] in _ENDS), min(len(tokens), at + 15))
+            around = [x for x in range(max(low, at - 4), min(high, at + 3)) if x != at]
+            exact = any(sure and i in self.is_insult for i, sure in found)
+            score = 0.3 if exact else 0.2
             if at and any(i in self.is_adjective for i in by_place.get(at - 1, ())):
                 score += 0.5
             if any(i in self.is_aimed for x in around for i in by_place.get(x, ())):
                 score += 0.5
-            if at and tokens[at - 1] == "=":
+            if at and tokens[at - 1] == "=" and (exact or at < 3 or tokens[at - 3] != "|"):
                 score += 0.8
-            wide = range(max(0, at - 14), min(len(tokens), at + 15))
             if any(tokens[x] in _QUOTE for x in around):
                 score -= 0.6
-            score -= 0.3 * min(3, sum(1 for x in wide if any(i in self.is_reported for i in by_place.get(x, ()))))
+            score -= 0.3 * min(3, sum(1 for x in range(low, high) if any(i in self.is_reported for i in by_place.get(x, ()))))
             if score > 0:
                 best["insult"] = max(best["insult"], score)
 
