@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.shared import cut
+
 PRIOR_VOCABULARY = 100
 PATH_ARROW = " -> "
 
@@ -61,10 +63,13 @@ def seed_rows(df: DataFrame, seeds: list[str]) -> DataFrame:
 def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., item, strength, mult, depth, path): every simple path of 1 to ``depth`` steps from the seeds.
 
-    ``edges`` has (by.., source, target, score). The loop only builds the plan.
+    ``edges`` has (by.., source, target, score); for more than one step they are
+    written once, not worked out at every step. The loop only builds the plan.
     Paths grow as the mean degree to the power of the depth, so edges should be
     cut by weight first.
     """
+    if depth > 1:
+        edges = cut(edges, "edges")
     front = seeds.select(*by, F.col("node_id").alias("item"), F.col("unit").alias("strength"), "mult", F.array("node_id").alias("path"))
     steps = []
     for d in range(1, depth + 1):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import incidence, pair_counts
+from weftline.plans.shared import cut
 
 METRICS = ["support", "confidence", "lift", "leverage", "conviction", "zhang"]
 SEP = "|"
@@ -57,20 +58,22 @@ def _grow(items: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.1, min_lift: float = 0.0, max_antecedent_len: int | None = None) -> DataFrame:
     """(antecedents, consequents, support, confidence, lift, leverage, conviction, zhang) from itemsets with their ``items``.
 
-    Every proper part of an itemset is tried as antecedent, by equi-joins on the parts.
+    Every proper part of an itemset is tried as antecedent, by equi-joins on the
+    parts. Itemsets are looked at three times, so they are written once.
     """
     if not 0 < min_confidence <= 1:
         raise ValueError("min_confidence must be in (0, 1]")
     if min_lift < 0:
         raise ValueError("min_lift must be non-negative")
+    itemsets = cut(itemsets.select("items", "support", "length"), "itemsets")
     masks = F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")
     part = F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)")
     whole = itemsets.where(F.col("length") > 1).select("items", F.col("support").alias("s_ab")).withColumn("mask", F.explode(masks))
-    cut = whole.withColumn("ants", part).withColumn("cons", F.array_except("items", "ants"))
+    parts = whole.withColumn("ants", part).withColumn("cons", F.array_except("items", "ants"))
     if max_antecedent_len is not None:
-        cut = cut.where(F.size("ants") <= max_antecedent_len)
+        parts = parts.where(F.size("ants") <= max_antecedent_len)
     known = itemsets.select("items", "support")
-    joined = cut.join(known.select(F.col("items").alias("ants"), F.col("support").alias("s_a")), "ants").join(known.select(F.col("items").alias("cons"), F.col("support").alias("s_b")), "cons")
+    joined = parts.join(known.select(F.col("items").alias("ants"), F.col("support").alias("s_a")), "ants").join(known.select(F.col("items").alias("cons"), F.col("support").alias("s_b")), "cons")
     conf = F.col("s_ab") / F.col("s_a")
     rules = joined.select("ants", "cons", "s_ab", "s_a", "s_b", conf.alias("conf"))
     c, b = F.col("conf"), F.col("s_b")
