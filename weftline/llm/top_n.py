@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,20 +84,20 @@ def merge_top(runs: list[list[tuple]], ends: list[list[int]], n: int) -> Iterato
 
 
 def _cut_run(n: int):
-    """Of rows sorted by group, falling score and item: the first n distinct items of each group, with the run's number."""
+    """Of rows sorted by group, falling score and item: the first n distinct items of each group."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, seen = None, set()
-        for f in frames:
+        for b in batches:
             keep = []
-            for g, x in zip(f["g"].tolist(), f["x"].tolist()):
+            for g, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if g != group:
                     group, seen = g, set()
                 new = len(seen) < n and x not in seen
                 if new:
                     seen.add(x)
                 keep.append(new)
-            yield f[keep]
+            yield b.filter(pa.array(keep))
 
     return run
 
@@ -105,29 +105,30 @@ def _cut_run(n: int):
 def _merge_bucket(n: int):
     """Rows of one partition, sorted by bucket, run and the run's order; a bucket is merged when all its rows are there."""
 
-    def flush(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        f = pd.concat(parts)
-        runs, ends = [], []
-        for _, r in f.groupby("run", sort=True):
-            groups = r["g"].tolist()
-            runs.append(list(zip(groups, (-r["score"]).tolist(), r["x"].tolist())))
-            end = [len(groups)] * len(groups)
-            for i in range(len(groups) - 2, -1, -1):
-                end[i] = end[i + 1] if groups[i] == groups[i + 1] else i + 1
+    def flush(runs: list[list[tuple]]) -> pa.RecordBatch:
+        ends = []
+        for r in runs:
+            end = [len(r)] * len(r)
+            for i in range(len(r) - 2, -1, -1):
+                end[i] = end[i + 1] if r[i][0] == r[i + 1][0] else i + 1
             ends.append(end)
-        return pd.DataFrame(list(merge_top(runs, ends, n)), columns=["group_key", "item", "score", "rank"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, parts = None, []
-        for f in frames:
-            for b, part in f.groupby("bucket", sort=False):
-                if parts and b != bucket:
-                    yield flush(parts)
-                    parts = []
-                bucket = b
-                parts.append(part)
-        if parts:
-            yield flush(parts)
+        out = list(zip(*merge_top(runs, ends, n)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.int32()))], ["group_key", "item", "score", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, number, runs = None, None, []
+        for b in batches:
+            for g, x, score, r, k in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if k != bucket:
+                    if runs:
+                        yield flush(runs)
+                    bucket, number, runs = k, None, []
+                if r != number:
+                    number = r
+                    runs.append([])
+                runs[-1].append((g, -score, x))
+        if runs:
+            yield flush(runs)
 
     return run
 
@@ -147,6 +148,6 @@ def top_per_group(df: DataFrame, group_col: str, item_col: str, score_col: str,
     rows = df.select(F.col(group_col).alias("g"), F.col(item_col).alias("x"), score.alias("score"))
     rows = rows.where(F.col("g").isNotNull() & F.col("x").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & (F.col("g") != F.col("x")))
     order = [F.col("g"), F.col("score").desc(), F.col("x")]
-    runs = rows.sortWithinPartitions(*order).mapInPandas(_cut_run(n), "g string, x string, score double").withColumn("run", F.spark_partition_id()).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
+    runs = rows.sortWithinPartitions(*order).mapInArrow(_cut_run(n), "g string, x string, score double").withColumn("run", F.spark_partition_id()).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
     bucketed = runs.repartition("bucket").sortWithinPartitions("bucket", "run", *order)
-    return bucketed.mapInPandas(_merge_bucket(n), "group_key string, item string, score double, rank int")
+    return bucketed.mapInArrow(_merge_bucket(n), "group_key string, item string, score double, rank int")
