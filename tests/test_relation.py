@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import weftline
-from weftline.operators import evaluation, facets, profiling
+from weftline.operators import evaluation, facets, list_metrics, profiling
 from weftline.operators.skew import detect_heavy_keys, key_counts, key_profile, rows_with_key_totals
 from weftline.plans.ranking import global_positions
 from weftline.sources import datasets
@@ -113,6 +113,25 @@ def test_metrics(spark):
     assert round(evaluation.catalogue_coverage(recs, cat).first().coverage, 4) == 0.6667
 
 
+def test_list_metrics_agree_with_tables(spark):
+    recs, real = ["x", "a", "y", "b"], ["x", "b", "z"]
+    got = evaluation.user_metrics(spark.createDataFrame([("u", recs)], "user_id string, recs array<string>"), spark.createDataFrame([("u", real)], "user_id string, items array<string>"), 3).first()
+    want = {"precision": list_metrics.precision_at_k(recs, real, 3), "recall": list_metrics.recall_at_k(recs, real, 3), "f1": list_metrics.f1_at_k(recs, real, 3), "ndcg": list_metrics.ndcg_at_k(recs, real, 3), "ap": list_metrics.average_precision(recs, real), "hit_rate": list_metrics.hit_rate_at_k(recs, real, 3), "rr": list_metrics.reciprocal_rank(recs, real)}
+    assert {k: round(got[k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}
+    assert list_metrics.precision_at_k([], [], 0) == list_metrics.ndcg_at_k([], [], 3) == list_metrics.recall_at_k(["a"], [], 1) == 0
+
+
+def test_facet_strategies(spark):
+    rows = [(1, "Pasta", "EU"), (1, "Wine", "EU"), (2, "Coffee", "BR"), (3, "Pasta", "EU"), (3, "Wine", "EU")]
+    df = spark.createDataFrame(rows, "o int, item string, region string")
+    popular = {(r.slice, r.recommended_item): r.total_strength for r in facets.recommend_by_facet(df, [], "o", "item", "region", strategy="popular").collect()}
+    assert popular["region=EU", "Wine"] == 0.5 and popular["region=BR", "Coffee"] == 1.0 and popular["global", "Coffee"] == 0.2
+    near = {(r.slice, r.recommended_item): (r.total_strength, r.level) for r in facets.recommend_by_facet(df, ["Pasta"], "o", "item", "region", strategy="cf").collect()}
+    assert near == {("region=EU", "Wine"): (1.0, 0), ("region=BR", "Wine"): (1.0, 1), ("global", "Wine"): (1.0, 0)}
+    with pytest.raises(ValueError):
+        facets.recommend_by_facet(df, [], "o", "item", "region", strategy="nonsense")
+
+
 def test_splits_are_exact(spark):
     df = spark.range(100).selectExpr("cast(id % 10 as string) as s", "id as t")
     train, test = evaluation.temporal_split(df, "t", 0.2)

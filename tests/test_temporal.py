@@ -68,6 +68,7 @@ def test_directed_chain(spark):
 def test_report_has_all_parts(sessions):
     report = aggregates.temporal_report(sessions, 3, 1, 0.1)
     assert len(report) == 8
+    assert {r.part: r.n_rows for r in aggregates.report_summary(report).collect()}["graph_snapshots"] == 3
     assert report["graph_snapshots"].count() == 3
     assert all(r.cohesion >= 0 for r in report["communities"].collect())
     diagonal = report["synchrony"].where("node_a = node_b AND correlation IS NOT NULL").collect()

@@ -12,6 +12,7 @@ from weftline.operators import aggregates, components, facets, mining, profiling
 from weftline.operators.graph import GraphModel
 from weftline.plans.shared import cut
 from weftline.sources import interactions as source
+from weftline.sources.session import session
 
 
 class Engine:
@@ -217,8 +218,9 @@ def load(data: Any, spark: SparkSession | None = None, **kw: Any) -> Engine:
     return engine
 
 
-def connect(spark: SparkSession | None = None) -> Engine:
-    return Engine(spark)
+def connect(database: str | None = None, memory_limit: str | None = None, threads: int | None = None) -> Engine:
+    """An engine on the running session, else on a local one; what is stored below ``database`` outlives it."""
+    return Engine(session(threads, memory_limit, database))
 
 
 def empty(spark: SparkSession) -> DataFrame:

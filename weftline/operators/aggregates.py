@@ -207,3 +207,12 @@ def temporal_report(df: DataFrame, n_windows: int = 4, min_cooccurrence: int = 1
     }
 
 
+
+
+def report_summary(report: dict[str, DataFrame]) -> DataFrame:
+    """(part, n_rows) of a report."""
+    parts = [df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n_rows")) for name, df in report.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -76,8 +76,36 @@ def split_by_facet(df: DataFrame, set_col: str, node_col: str, facet_cols: str |
     return {x: tagged.where(F.col("slice") == x).select(*keep) for x in labels}
 
 
-def recommend_by_facet(df: DataFrame, seeds: list[str], set_col: str, node_col: str, facet_cols: str | list[str], n: int = 10, scoring: str = "frequency", max_depth: int = 2, min_cooccurrence: int = 1, fallback_merge: str = "union") -> DataFrame:
-    """(slice, recommended_item, total_strength, level): the graph ranking inside each facet slice, and 'global'.
+def _popular(every: DataFrame, seeds: list[str], *_: object) -> DataFrame:
+    totals = node_totals(every, ("slice",))
+    sums = totals.groupBy("slice").agg(F.sum("total").alias("_n"))
+    return totals.join(sums, "slice").select("slice", F.col("node_id").alias("item"), (F.col("total") / F.col("_n")).alias("total_strength"))
+
+
+def _similar(every: DataFrame, seeds: list[str], scoring: str, max_depth: int, min_cooccurrence: int) -> DataFrame:
+    totals = node_totals(every, ("slice",))
+    a, b = totals.select("slice", F.col("node_id").alias("source"), F.col("total").alias("na")), totals.select("slice", F.col("node_id").alias("target"), F.col("total").alias("nb"))
+    near = cooccurrence(every, ("slice",), min_cooccurrence).where(F.col("source").isin(seeds) & ~F.col("target").isin(seeds)).join(a, ["slice", "source"]).join(b, ["slice", "target"])
+    return near.groupBy("slice", F.col("target").alias("item")).agg(F.sum(F.col("weight") / (F.col("na") + F.col("nb") - F.col("weight"))).alias("total_strength"))
+
+
+def _paths(every: DataFrame, seeds: list[str], scoring: str, max_depth: int, min_cooccurrence: int) -> DataFrame:
+    by = ("slice",)
+    edges = cooccurrence(every, by, min_cooccurrence)
+    if scoring in ("probability", "path"):
+        edges = edges.join(node_totals(every, by).withColumnRenamed("node_id", "source"), ["slice", "source"]).withColumn("score", F.col("weight") / F.col("total"))
+    else:
+        edges = edges.withColumn("score", F.col("weight").cast("double"))
+    own = every.where(F.col("node_id").isin(seeds)).groupBy("slice", "node_id").agg(F.count(F.lit(1)).alias("mult"))
+    start = own.withColumn("unit", 1.0 / F.sum("mult").over(Window.partitionBy("slice")))
+    return path_integral(simple_paths(edges.select("slice", "source", "target", "score"), start, max_depth, by), scoring == "path", by).where(~F.col("item").isin(seeds))
+
+
+def recommend_by_facet(df: DataFrame, seeds: list[str], set_col: str, node_col: str, facet_cols: str | list[str], strategy: str = "graph", n: int = 10, scoring: str = "frequency", max_depth: int = 2, min_cooccurrence: int = 1, fallback_merge: str = "union") -> DataFrame:
+    """(slice, recommended_item, total_strength, level): a ranking inside each facet slice, and 'global'.
+
+    ``strategy`` is 'graph' (or 'auto'): paths from the seeds; 'cf': Jaccard
+    similarities to the seeds, added; 'popular': shares of the slice's rows.
 
     All slices run at once: rows are spread to every coarser slice (a subset of
     the facets kept), edges and paths carry the slice. A slice without results
@@ -90,6 +118,8 @@ def recommend_by_facet(df: DataFrame, seeds: list[str], set_col: str, node_col:
     require_columns(df, [set_col, node_col, *facets])
     if fallback_merge not in ("union", "best", "first"):
         raise ValueError(f"Unknown merge strategy={fallback_merge!r}")
+    if strategy not in ("graph", "auto", "cf", "popular"):
+        raise ValueError(f"Unknown strategy: {strategy}")
     rows = df.select(F.col(set_col).cast("string").alias("set_id"), F.col(node_col).cast("string").alias("node_id"), *[F.col(c).cast("string").alias(c) for c in facets]).dropna(subset=["set_id", "node_id"])
     finest = rows.dropna(subset=facets).select("set_id", "node_id", facet_label(facets).alias("slice"))
     parts = [finest]
@@ -100,15 +130,7 @@ def recommend_by_facet(df: DataFrame, seeds: list[str], set_col: str, node_col:
             name = facet_label(list(keep)) if keep else F.lit("")
             parts.append(rows.dropna(subset=list(keep)).select("set_id", "node_id", F.concat(F.lit("~"), name).alias("slice")).distinct() if keep else rows.select("set_id", "node_id", F.lit("~").alias("slice")).distinct())
     every = reduce(DataFrame.unionByName, parts)
-    by = ("slice",)
-    edges = cooccurrence(every, by, min_cooccurrence)
-    if scoring in ("probability", "path"):
-        edges = edges.join(node_totals(every, by).withColumnRenamed("node_id", "source"), ["slice", "source"]).withColumn("score", F.col("weight") / F.col("total"))
-    else:
-        edges = edges.withColumn("score", F.col("weight").cast("double"))
-    own = every.where(F.col("node_id").isin(seeds)).groupBy("slice", "node_id").agg(F.count(F.lit(1)).alias("mult"))
-    start = own.withColumn("unit", 1.0 / F.sum("mult").over(Window.partitionBy("slice")))
-    found = path_integral(simple_paths(edges.select("slice", "source", "target", "score"), start, max_depth, by), scoring == "path", by).where(~F.col("item").isin(seeds))
+    found = {"cf": _similar, "popular": _popular}.get(strategy, _paths)(every, seeds, scoring, max_depth, min_cooccurrence)
     best = Window.partitionBy("slice").orderBy(F.round("total_strength", 9).desc(), "item")
     top = found.select("slice", "item", "total_strength", F.row_number().over(best).alias("k")).where(F.col("k") <= n)
     names = rows.dropna(subset=facets).select(*facets).distinct()
