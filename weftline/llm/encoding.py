@@ -29,13 +29,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.stretches import stretches
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the published pattern that splits text before merges.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Distinct words that a worker remembers before it forgets them all, and characters of text it takes at a time.
-REMEMBERED_WORDS, TEXT_AT_A_TIME = 300_000, 4_000_000
+#: Distinct words, and characters of stretches of text, that a worker remembers before it forgets them all; characters of text it takes at a time.
+REMEMBERED_WORDS, REMEMBERED_CHARACTERS, TEXT_AT_A_TIME = 300_000, 12_000_000, 4_000_000
 NEVER = 1 << 62
 
 
@@ -104,6 +106,8 @@ class TrieEncoder:
         self.v = vocabulary
         self.known: dict[str, list[int]] = {}
         self._fits: dict[int, bool] = {}
+        self._stretches: dict[str, list[int]] = {}
+        self._held = 0
         self._pattern = regex.compile(WORD_PATTERN)
         self._odd = regex.compile(f"[{vocabulary.odd_letters}]") if vocabulary.odd_letters else None
         self._one = [vocabulary.usable[bytes([b])] for b in range(256)]
@@ -177,20 +181,34 @@ class TrieEncoder:
             self.known[word] = out
             before = data
 
-    def split_all(self, texts: list[str | None]) -> list[list[str]]:
-        """The words of each text, all of them known afterwards. A null or empty text has none."""
-        split = [self.words(t) if t else [] for t in texts]
+    def encode_all(self, texts: list[str | None]) -> list[list[list[int]]]:
+        """For each text, the ids of its stretches; a null or empty text has none.
+
+        A text may be cut wherever a word ends and white space follows, as no
+        word reaches across. Stretches (sentences and lines) that many texts
+        share, such as revisions of a page, are split and encoded once.
+        """
+        if self._held > REMEMBERED_CHARACTERS:
+            self._stretches.clear()
+            self._held = 0
         if len(self.known) > REMEMBERED_WORDS:
             self.known.clear()
             self._fits.clear()
-        new = set(chain.from_iterable(split)) - self.known.keys()
-        if new:
-            self.learn(new)
-        return split
+        cut = [stretches(t) for t in texts]
+        done, known = self._stretches, self.known
+        new = {x: self.words(x) for x in set(chain.from_iterable(cut)) if x not in done}
+        if fresh := set(chain.from_iterable(new.values())) - known.keys():
+            self.learn(fresh)
+        for x, words in new.items():
+            ids: list[int] = []
+            for w in words:
+                ids += known[w]
+            done[x] = ids
+            self._held += len(x)
+        return [[done[x] for x in c] for c in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        known = self.known
-        return [i for w in self.split_all([text])[0] for i in known[w]]
+        return [i for ids in self.encode_all([text])[0] for i in ids]
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
@@ -216,31 +234,30 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _map_texts(key: str, shared, results: Callable[[TrieEncoder, list[list[str]]], pa.Array], name: str):
+def _map_texts(key: str, shared, results: Callable[[list[list[list[int]]]], pa.Array], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared.value)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             for i, j in _pieces(texts):
-                done = results(encoder, encoder.split_all(texts[i:j]))
+                done = results(encoder.encode_all(texts[i:j]))
                 kept = [b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, done], [*b.schema.names[:-1], name])
 
     return run
 
 
-def _as_ids(encoder: TrieEncoder, split: list[list[str]]) -> pa.Array:
-    known, flat, ends = encoder.known, [], [0]
-    for words in split:
-        for w in words:
-            flat += known[w]
+def _as_ids(encoded: list[list[list[int]]]) -> pa.Array:
+    flat, ends = [], [0]
+    for parts in encoded:
+        for ids in parts:
+            flat += ids
         ends.append(len(flat))
     return pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.array(flat, dtype=np.int32)))
 
 
-def _as_counts(encoder: TrieEncoder, split: list[list[str]]) -> pa.Array:
-    known = encoder.known
-    return pa.array([sum(len(known[w]) for w in words) for words in split], pa.int64())
+def _as_counts(encoded: list[list[list[int]]]) -> pa.Array:
+    return pa.array([sum(map(len, parts)) for parts in encoded], pa.int64())
 
 
 def _shared_vocabulary(spark: SparkSession, path: str):
