@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.stretches import stretches
+
 # The lexicon. Insults and the adjectives that go with them, by language.
 INSULTS = """
 idiot idiots moron morons loser losers pig pigs bastard bastards scum ass asshole assholes dumbass dumbasses cretin cretins
@@ -75,6 +77,8 @@ LOOKALIKES = str.maketrans("аеорсухіјѕкмтвнԁһԛԝѵгαοερτ
 SIGNS = str.maketrans("0134578@$!", "oieastbasi")
 
 WINDOW_SLACK = 10
+#: Characters of stretches of text that a worker remembers before it forgets them all.
+REMEMBERED_CHARACTERS = 8_000_000
 #: A document is listed from this score on.
 FLAG_FROM = 1.0
 
@@ -186,6 +190,8 @@ class Scorer:
         self.firsts = {w[:-1]: w for w in self.trie.words if len(w) > 4}
         self.lasts = {w[1:]: w for w in self.trie.words if len(w) > 4}
         self.known: dict[str, tuple[tuple[tuple[int, bool], ...], bool]] = {}
+        self._parts: dict[str, tuple] = {}
+        self._held = 0
 
     def look_up(self, token: str) -> tuple[tuple[tuple[int, bool], ...], bool]:
         """The lexicon words a token may stand for, each with whether it does so to the letter; and whether a letter may have slipped into or out of it."""
@@ -228,25 +234,46 @@ class Scorer:
         """(score, category of the strongest part), 0 and '' for null, empty and clean texts."""
         if not text:
             return 0.0, ""
+        if self._held > REMEMBERED_CHARACTERS:
+            self._parts.clear()
+            self._held = 0
         best: dict[str, float] = defaultdict(float)
-        for kind, strings in STRINGS.items():
-            for s in strings:
-                if s in text:
-                    best[kind] = max(best[kind], 1.5)
-        tokens = _TOKEN.findall(fold(text))
-        records = [known.get(t) or self.look_up(t) for known in (self.known,) for t in tokens]
+        hits: list[tuple[int, tuple[tuple[int, bool], ...]]] = []
+        at = 0
+        for part in stretches(text):
+            known = self._parts.get(part)
+            if known is None:
+                known = self._parts[part] = self._read(part)
+                self._held += len(part)
+            size, own, found = known
+            if own:
+                hits += [(at + i, ids) for i, ids in own]
+            for kind, score in found:
+                best[kind] = max(best[kind], score)
+            at += size
+        self._score_phrases(hits, best)
+        if not best:
+            return 0.0, ""
+        kind = max(best, key=lambda k: (best[k], k))
+        return round(best[kind], 3), kind
+
+    def _read(self, part: str) -> tuple[int, list[tuple[int, tuple[tuple[int, bool], ...]]], list[tuple[str, float]]]:
+        """Of a stretch of text: its number of tokens, those that stand for words of the lexicon, and the scores of its terms and strings."""
+        tokens = _TOKEN.findall(fold(part))
+        known = self.known
+        records = [known.get(t) or self.look_up(t) for t in tokens]
         for i in [i for i, r in enumerate(records) if r[1]]:
             for at in (i - 1, i):
                 if 0 <= at < len(tokens) - 1:
                     self._put_back(tokens, at)
                     records[at : at + 2] = [self.look_up(tokens[at]), self.look_up(tokens[at + 1])]
         hits = [(i, r[0]) for i, r in enumerate(records) if r[0]]
-        self._score_phrases(hits, best)
+        best: dict[str, float] = defaultdict(float)
         self._score_terms(tokens, hits, best)
-        if not best:
-            return 0.0, ""
-        kind = max(best, key=lambda k: (best[k], k))
-        return round(best[kind], 3), kind
+        for kind, strings in STRINGS.items():
+            if any(s in part for s in strings):
+                best[kind] = max(best[kind], 1.5)
+        return len(tokens), hits, list(best.items())
 
     def _score_phrases(self, hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
         """Chains of a phrase's words in order, each within the phrase's window; a word that is only near counts 8 for 10."""
