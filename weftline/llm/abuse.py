@@ -12,8 +12,9 @@ reported, studied or condemned weighs less.
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,9 +83,9 @@ REMEMBERED_CHARACTERS = 8_000_000
 #: A document is listed from this score on.
 FLAG_FROM = 1.0
 
-_EMPTY_COMMENT = regex.compile(r"<!--[\s\-]*-->")
-_SPACED = regex.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_])[^\W_@$!])(?:\1[^\W_]|\1[@$!])+(?![^\W_])")
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!*]+|[=\"“”„«»]|''+|[.?;\n|\[\]{}<>]")
+_EMPTY_COMMENT = re.compile(r"<!--[\s\-]*-->")
+_SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_])[^\W_@$!])(?:\1[^\W_]|\1[@$!])+(?![^\W_])")
+_TOKEN = re.compile(r"[\w@$!*]+|[=\"“”„«»]|''+|[.?;\n|\[\]{}<>]")
 _BREAK = set(".?;\n|[]{}<>")
 _ENDS = set(".?;\n")
 _QUOTE = {'"', "“", "”", "„", "«", "»", "''"}
@@ -95,7 +96,8 @@ _LOOK = regex.compile("[аеорсухіјѕкмтвнԁһԛԝѵгαοερτνι
 
 def fold(text: str) -> str:
     """Lower case without invisible characters, empty comments, compatibility forms and spaced-out words."""
-    text = _EMPTY_COMMENT.sub("", text)
+    if "<!--" in text:
+        text = _EMPTY_COMMENT.sub("", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
         text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Mn") or c == "\n") if any(unicodedata.category(c) in ("Cf", "Mn") for c in set(text)) else text
@@ -277,10 +279,17 @@ class Scorer:
 
     def _score_phrases(self, hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
         """Chains of a phrase's words in order, each within the phrase's window; a word that is only near counts 8 for 10."""
+        steps = {r for i in {i for _, ids in hits for i, _ in ids} for r in self.roles[i]}
+        held = Counter(p for p, _ in steps)
+        open_phrases = {p for p, n in held.items() if 10 * n >= self.phrases[p][2]}
+        if not open_phrases:
+            return
         chains: dict[int, dict[int, tuple[int, int]]] = {}
         for at, ids in hits:
             for i, sure in ids:
                 for p, j in self.roles[i]:
+                    if p not in open_phrases:
+                        continue
                     kind, words, need = self.phrases[p]
                     ends = chains.setdefault(p, {})
                     window = 2 * len(words) + WINDOW_SLACK
