@@ -25,8 +25,8 @@ from weftline.plans.shared import Cut, least_count
 
 #: Sequences that one diagram takes at most; a task with more builds several, one after the other.
 DIAGRAM_SEQUENCES = 200_000
-#: A set with more rows than this share of all is thinned out in time ranges first.
-HEAVY_SHARE = 0.001
+#: A set with more rows than this, but at least the least and at most the largest share of all rows, is thinned out in time ranges first.
+HEAVY_ROWS, LEAST_SHARE, HEAVY_SHARE = 20_000, 1 / 16_384, 0.001
 
 
 class Diagram:
@@ -312,13 +312,14 @@ def frequent_subsequences(
     least = max(min_count, least_count(n_sets, min_share), 1)
     steps = ", ".join(f"step_{i + 1} string" for i in range(length))
     timed = there.where(F.col(time_col).isNotNull()).select(F.col(set_col).cast("string").alias("s"), F.col(node_col).cast("string").alias("node"), F.col(time_col).alias("t"))
-    found = timed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("node").limit(max_items + 1).collect()
+    found = timed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).limit(max_items + 1).collect()
     if len(found) > max_items:
         raise ValueError(f"more than {max_items} nodes have {least} rows or more: raise min_count or min_share")
     nodes = sorted((r.node for r in found), key=lambda x: x.encode())
     codes = spark.createDataFrame([(n, i) for i, n in enumerate(nodes)], "node string, code int")
     events = timed.join(F.broadcast(codes), "node").select("s", _instant(timed).alias("t"), "code")
-    heavy = detect_heavy_keys(events, ["s"], HEAVY_SHARE)
+    share = min(HEAVY_SHARE, max(HEAVY_ROWS / max(1, sum(r.n for r in found)), LEAST_SHARE))
+    heavy = detect_heavy_keys(events, ["s"], share)
     hot_sets = F.broadcast(heavy.table(spark).select(F.col("key_value").alias("s")))
     if heavy.keys["s"]:
         hot = events.join(hot_sets, "s", "left_semi").repartitionByRange("s", "t").sortWithinPartitions("s", "t").mapInArrow(_thin_partition(length), "s string, t long, code int")

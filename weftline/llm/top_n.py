@@ -105,35 +105,40 @@ def _cut_run(n: int):
 def _merge_bucket(n: int):
     """Rows of one partition, sorted by bucket, run and the run's order; a bucket is merged when all its rows are there."""
 
-    def flush(runs: list[list[tuple]]) -> pa.RecordBatch:
+    def merge(runs: list[list[tuple]]) -> Iterator[tuple]:
         ends = []
         for r in runs:
             end = [len(r)] * len(r)
             for i in range(len(r) - 2, -1, -1):
                 end[i] = end[i + 1] if r[i][0] == r[i + 1][0] else i + 1
             ends.append(end)
-        out = list(zip(*merge_top(runs, ends, n)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.int32()))], ["group_key", "item", "score", "rank"])
+        return merge_top(runs, ends, n)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.float64(), pa.int32()))], ["group_key", "item", "score", "rank"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, number, runs = None, None, []
+        bucket, number, runs, out = None, None, [], []
         for b in batches:
             for g, x, score, r, k in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if k != bucket:
-                    if runs:
-                        yield flush(runs)
+                    out += merge(runs) if runs else ()
                     bucket, number, runs = k, None, []
                 if r != number:
                     number = r
                     runs.append([])
                 runs[-1].append((g, -score, x))
-        if runs:
-            yield flush(runs)
+            if len(out) >= 10_000:
+                yield batch(out)
+                out = []
+        out += merge(runs) if runs else ()
+        if out:
+            yield batch(out)
 
     return run
 
 
-def top_per_group(df: DataFrame, group_col: str, item_col: str, score_col: str, n: int = 5, buckets: int = 4096) -> DataFrame:
+def top_per_group(df: DataFrame, group_col: str, item_col: str, score_col: str, n: int = 5, buckets: int = 1 << 20) -> DataFrame:
     """(group_key, item, score, rank): for each group its n items of highest score.
 
     Left out are rows with a null group or item, a null or NaN score, or an item
@@ -141,8 +146,8 @@ def top_per_group(df: DataFrame, group_col: str, item_col: str, score_col: str,
     scores the smaller item (by bytes) comes first; -0.0 equals 0.0. A group
     with fewer items gives all of them. Empty input gives no rows.
 
-    ``buckets`` is the number of merge units: one unit holds the cut runs of
-    (groups / buckets) groups, and units move as whole through the shuffle.
+    ``buckets`` is the number of merge units. A task holds one unit at a time,
+    the cut runs of (groups / buckets) groups, so there should be many.
     """
     score = F.col(score_col).cast("double") + F.lit(0.0)
     rows = df.select(F.col(group_col).alias("g"), F.col(item_col).alias("x"), score.alias("score"))
