@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import jaccard, lift
 from weftline.operators.graph import best_rows, cooccurrence, node_totals
 
 
@@ -33,7 +34,7 @@ class ItemSimilarity:
         c, a, b = F.col("weight"), F.col("a"), F.col("b")
         if self.metric == "lift":
             joined = joined.crossJoin(F.broadcast(self.interactions.agg(F.count_distinct("set_id").alias("_n"))))
-        score = {"jaccard": lambda: c / (a + b - c), "cosine": lambda: c / (F.sqrt(a) * F.sqrt(b)), "lift": lambda: c * F.col("_n") / (a.cast("double") * b)}[self.metric]()
+        score = {"jaccard": lambda: jaccard(c, a, b), "cosine": lambda: c / (F.sqrt(a) * F.sqrt(b)), "lift": lambda: lift(c, a, b, F.col("_n"))}[self.metric]()
         scored = joined.select(F.col("source").alias("item_a"), F.col("target").alias("item_b"), score.alias("score"))
         best = Window.partitionBy("item_a").orderBy(F.round("score", 9).desc(), "item_b")
         return scored.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= self.top_k_similar).drop("_k")

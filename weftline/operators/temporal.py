@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,13 +156,21 @@ class ComponentTracker:
         return out.join(F.broadcast(names), "win").select("transition", "event", "prev_members", "curr_members", "jaccard")
 
 
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For two sorted lists of positions, how many pairs have the first before the second."""
+    for b in batches:
+        first, second = (x.to_numpy(zero_copy_only=False) for x in (b.column(2), b.column(3)))
+        counts = [int(np.searchsorted(p, q).sum()) for p, q in zip(first, second)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64())], ["source", "target", "c"])
+
+
 @dataclass(frozen=True)
 class DirectedGraph:
     """Edges from what comes before to what comes after in a set; rows of a set are numbered by time, then node.
 
     With ``max_gap`` each row looks ahead ``max_gap + 1`` rows. Without it every
-    later row counts: the number of rows after one is summed up from positions,
-    so a set is read in order and never paired row by row with itself.
+    later row counts: positions of two nodes of a set are sorted lists, and a
+    binary search counts the pairs in order, so rows are never paired one by one.
     """
 
     interactions: DataFrame
@@ -178,8 +189,8 @@ class DirectedGraph:
             placed = df.select("set_id", "node_id", F.row_number().over(order).alias("pos"))
             runs = placed.groupBy("set_id", "node_id").agg(F.array_sort(F.collect_list("pos")).alias("p"))
             a, b = runs.select("set_id", F.col("node_id").alias("source"), F.col("p").alias("pa")), runs.select("set_id", F.col("node_id").alias("target"), F.col("p").alias("pb"))
-            before = F.aggregate("pb", F.lit(0).cast("long"), lambda acc, y: acc + F.size(F.filter("pa", lambda x: x < y)))
-            raw = a.join(b, "set_id").select("source", "target", before.alias("c")).where("c > 0").groupBy("source", "target").agg(F.sum("c").alias("weight"))
+            pairs = a.join(b, "set_id").select("source", "target", "pa", "pb").mapInArrow(_in_order, "source string, target string, c long")
+            raw = pairs.where("c > 0").groupBy("source", "target").agg(F.sum("c").alias("weight"))
         raw = raw.where(F.col("weight") >= self.min_support)
         totals = raw.groupBy("source").agg(F.sum("weight").alias("_out"))
         return raw.join(totals, "source").select("source", "target", "weight", (F.col("weight") / F.col("_out")).alias("score"))
