@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions import lift, pmi
 from weftline.plans.shared import least_count
 
 #: Up to so many candidate nodes are numbered and broadcast (about 2 MB); beyond it, or in baskets larger than it, baskets are cut in blocks.
@@ -80,7 +81,7 @@ def _measure(counts: DataFrame, n_sets: int, least: int, min_lift: float, small:
     n_a, n_b = own.select("a", F.col("n").alias("n_a")), own.select(F.col("a").alias("b"), F.col("n").alias("n_b"))
     pairs = counts.where(F.col("a") < F.col("b")).join(hint(n_a), "a").join(hint(n_b), "b")
     exact = F.col("n") * F.lit(n_sets)
-    lift = exact.cast("double") / (F.col("n_a").cast("double") * F.col("n_b").cast("double"))
+    terms = (F.col("n"), F.col("n_a"), F.col("n_b"), F.lit(n_sets))
     return pairs.where(exact >= F.lit(float(min_lift)) * F.col("n_a") * F.col("n_b")).select(
-        F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.col("n").alias("n_ab"), "n_a", "n_b", F.lit(n_sets).cast("long").alias("n_sets"), lift.alias("lift"), F.log2(lift).alias("pmi")
+        F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.col("n").alias("n_ab"), "n_a", "n_b", F.lit(n_sets).cast("long").alias("n_sets"), lift(*terms).alias("lift"), pmi(*terms).alias("pmi")
     )

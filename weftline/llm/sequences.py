@@ -17,10 +17,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.skew import detect_heavy_keys
+from weftline.plans.instants import micros
 from weftline.plans.shared import Cut, least_count
 
 #: Sequences that one diagram takes at most; a task with more builds several, one after the other.
@@ -317,7 +318,7 @@ def frequent_subsequences(
         raise ValueError(f"more than {max_items} nodes have {least} rows or more: raise min_count or min_share")
     nodes = sorted((r.node for r in found), key=lambda x: x.encode())
     codes = spark.createDataFrame([(n, i) for i, n in enumerate(nodes)], "node string, code int")
-    events = timed.join(F.broadcast(codes), "node").select("s", _instant(timed).alias("t"), "code")
+    events = timed.join(F.broadcast(codes), "node").select("s", micros(timed, "t").alias("t"), "code")
     share = min(HEAVY_SHARE, max(HEAVY_ROWS / max(1, sum(r.n for r in found)), LEAST_SHARE))
     heavy = detect_heavy_keys(events, ["s"], share)
     hot_sets = F.broadcast(heavy.table(spark).select(F.col("key_value").alias("s")))
@@ -348,14 +349,6 @@ def frequent_subsequences(
     raise ValueError("length must be at least 2")
 
 
-def _instant(timed: DataFrame) -> Column:
-    """Column t as a whole number that keeps its order, without any time zone where it has none."""
-    kind = dict(timed.dtypes)["t"]
-    if kind == "timestamp_ntz":
-        return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', t)")
-    return F.unix_micros("t") if kind == "timestamp" else F.col("t").cast("long")
-
-
 def _shorter(p: tuple[int, ...]) -> list[tuple[int, ...]]:
     """The prefixes, one shorter than ``p``, that must also be followed by whatever may follow ``p``."""
     return [p[:i] + p[i + 1 :] for i in range(len(p))]
