@@ -65,6 +65,18 @@ def test_directed_chain(spark):
     assert {r.next_item for r in temporal.DirectedGraph(df, 0).reachable_from("B").collect()} == {"C"}
 
 
+def test_long_sets_count_alike(spark, monkeypatch):
+    rows = [("s", "ABC"[(i * i) % 7 % 3], dt.datetime(2024, 1, 1, 10, i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "set_id string, node_id string, sort_column timestamp_ntz")
+    want = {}
+    for i, (_, a, _) in enumerate(rows):
+        for _, b, _ in rows[i + 1 :]:
+            want[a, b] = want.get((a, b), 0) + 1
+    for few in (0, 10_000):
+        monkeypatch.setattr(temporal, "FEW_PAIRS", few)
+        assert {(r.source, r.target): r.weight for r in temporal.DirectedGraph(df).edges.collect()} == want
+
+
 def test_report_has_all_parts(sessions):
     report = aggregates.temporal_report(sessions, 3, 1, 0.1)
     assert len(report) == 8

@@ -156,6 +156,10 @@ class ComponentTracker:
         return out.join(F.broadcast(names), "win").select("transition", "event", "prev_members", "curr_members", "jaccard")
 
 
+#: Up to so many pairs of positions are compared one by one, without leaving the JVM.
+FEW_PAIRS = 256
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For two sorted lists of positions, how many pairs have the first before the second."""
     for b in batches:
@@ -169,8 +173,8 @@ class DirectedGraph:
     """Edges from what comes before to what comes after in a set; rows of a set are numbered by time, then node.
 
     With ``max_gap`` each row looks ahead ``max_gap + 1`` rows. Without it every
-    later row counts: positions of two nodes of a set are sorted lists, and a
-    binary search counts the pairs in order, so rows are never paired one by one.
+    later row counts: positions of two nodes of a set are sorted lists, of
+    which, unless they are short, a binary search counts the pairs in order.
     """
 
     interactions: DataFrame
@@ -189,7 +193,10 @@ class DirectedGraph:
             placed = df.select("set_id", "node_id", F.row_number().over(order).alias("pos"))
             runs = placed.groupBy("set_id", "node_id").agg(F.array_sort(F.collect_list("pos")).alias("p"))
             a, b = runs.select("set_id", F.col("node_id").alias("source"), F.col("p").alias("pa")), runs.select("set_id", F.col("node_id").alias("target"), F.col("p").alias("pb"))
-            pairs = a.join(b, "set_id").select("source", "target", "pa", "pb").mapInArrow(_in_order, "source string, target string, c long")
+            met = a.join(b, "set_id").select("source", "target", "pa", "pb")
+            few = F.size("pa").cast("long") * F.size("pb") <= FEW_PAIRS
+            one_by_one = F.expr("aggregate(pb, 0L, (n, y) -> n + size(filter(pa, x -> x < y)))")
+            pairs = met.where(few).select("source", "target", one_by_one.alias("c")).unionByName(met.where(~few).mapInArrow(_in_order, "source string, target string, c long"))
             raw = pairs.where("c > 0").groupBy("source", "target").agg(F.sum("c").alias("weight"))
         raw = raw.where(F.col("weight") >= self.min_support)
         totals = raw.groupBy("source").agg(F.sum("weight").alias("_out"))
