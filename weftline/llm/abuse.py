@@ -74,6 +74,15 @@ process task parent zombie expelled survivors
 # Letters that look like Latin ones, and signs that stand for letters.
 #: Words too common to count in a phrase.
 COMMON = set("the of was in and is to a be are that from all do with will has by so it her as out for".split())
+#: Everyday words one edit away from a word of the lexicon; they are not misspellings of it.
+ORDINARY = set("""
+duck luck buck tuck puck muck funk pluck ducks lucky shirt shift short shut ship shot sit suit spit skit slit slot glut shin hit kiln bill hill will till fill pill mill still skill skills kiss kilt kin
+horn thorny corny driver drives drive pale tale male same scale sales safe sake salt dock rock lock sock cook click clock cork cocky dice nick pick sick deck duke disk dish kick lick tick wick
+batch pitch ditch witch beach hatch count cent hunt punt cult cut runt can aunt price brick trick prince pricks swing shine spine twine swift scam score sum slum swam dumb moron maroon idiom idiots
+loner lover loses lower loose poser closer pug peg pin pit pie big dig fig wig rig mat cat bat rate rates rays rant raft rafts cats bats mats hats verb vermont permit fifth faith filch width
+crab crop clap trap wrap cramp scrap craft bits hits kits sits ties tin tip breasts bread beast breath breasted nasty bastion custard mustard dastard puma pura pita puta ruta pasta
+conard canard renard étalon crevez creser gras gris grois seller jerky clerk perk jest maggots dies dive dine dim dip dye lie burns born barn turn bun bird bury burnt
+""".split())
 LOOKALIKES = str.maketrans("аеорсухіјѕкмтвнԁһԛԝѵгαοερτνικυχ", "aeopcyxijskmtbhdhqwvraoeptvikux")
 SIGNS = str.maketrans("0134578@$!", "oieastbasi")
 
@@ -187,6 +196,12 @@ class Scorer:
                     self.roles[self.trie.exact[w]].append((p, j))
         for r in self.roles:
             r.sort(key=lambda x: (x[0], -x[1]))
+        self.short_roles: dict[int, list[tuple[int, int]]] = {}
+        for p, (_, words, need) in enumerate(self.phrases):
+            if need == 10 * len(words) and len(words) <= 2:
+                for j, choice in enumerate(words):
+                    for w in choice:
+                        self.short_roles.setdefault(self.trie.exact[w], []).append((p, j))
         index = lambda words: {self.trie.exact[fold(w)] for w in words}
         self.is_insult, self.is_adjective, self.is_aimed, self.is_reported = index(self.insults), index(ADJECTIVES), index(AIMED), index(REPORTED)
         self.firsts = {w[:-1]: w for w in self.trie.words if len(w) > 4}
@@ -272,6 +287,7 @@ class Scorer:
         hits = [(i, r[0]) for i, r in enumerate(records) if r[0]]
         best: dict[str, float] = defaultdict(float)
         self._score_terms(tokens, hits, best)
+        self._score_doubtful(tokens, hits, best)
         for kind, strings in STRINGS.items():
             if any(s in part for s in strings):
                 best[kind] = max(best[kind], 1.5)
@@ -304,6 +320,27 @@ class Scorer:
                     if length >= need:
                         best[kind] = max(best[kind], 1.0 + length / len(words) / 10)
 
+    def _sentence(self, tokens: list[str], at: int, reach: int = 14) -> tuple[int, int]:
+        """First place and the place behind the last of the sentence around token ``at``, as far as ``reach``."""
+        low = next((x + 1 for x in range(at - 1, max(0, at - reach - 1) - 1, -1) if tokens[x] in _ENDS), max(0, at - reach))
+        high = next((x for x in range(at + 1, min(len(tokens), at + reach + 1)) if tokens[x] in _ENDS), min(len(tokens), at + reach + 1))
+        return low, high
+
+    def _score_doubtful(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
+        """Phrases of one or two words of which one is only near or starred: they count close together, where nobody quotes or reports them and the word is no everyday one."""
+        doubtful = [(at, p, j) for at, ids in hits for i, sure in ids if not sure for p, j in self.short_roles.get(i, ()) if tokens[at] not in ORDINARY]
+        if not doubtful:
+            return
+        sure_roles = {at: {r for i, sure in ids if sure for r in self.short_roles.get(i, ())} for at, ids in hits}
+        for at, p, j in doubtful:
+            kind, words, _ = self.phrases[p]
+            low, high = self._sentence(tokens, at)
+            if len(words) == 2 and not any((p, 1 - j) in sure_roles.get(x, ()) for x in (range(at + 1, min(high, at + 4)) if j == 0 else range(max(low, at - 3), at))):
+                continue
+            score = 1.3 - 0.6 * any(tokens[x] in _QUOTE for x in range(max(low, at - 5), min(high, at + 5)))
+            score -= 0.3 * min(3, sum(1 for x, ids in hits if low <= x < high and any(i in self.is_reported for i, _ in ids)))
+            best[kind] = max(best[kind], score)
+
     def _score_terms(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
         """Single terms: an insult beside 'you' or with its adjective counts when nobody quotes or reports it."""
         if not any(i in self.is_insult for _, ids in hits for i, _ in ids):
@@ -312,8 +349,7 @@ class Scorer:
         for at, found in hits:
             if not any(i in self.is_insult for i, _ in found):
                 continue
-            low = next((x + 1 for x in range(at - 1, max(0, at - 15) - 1, -1) if tokens[x] in _ENDS), max(0, at - 14))
-            high = next((x for x in range(at + 1, min(len(tokens), at + 15)) if tokens[x] in _ENDS), min(len(tokens), at + 15))
+            low, high = self._sentence(tokens, at)
             around = [x for x in range(max(low, at - 4), min(high, at + 3)) if x != at]
             exact = any(sure and i in self.is_insult for i, sure in found)
             score = 0.3 if exact else 0.2
