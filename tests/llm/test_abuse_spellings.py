@@ -17,3 +17,39 @@ def test_short_phrases_with_one_near_word(scorer, text):
 @pytest.mark.parametrize("text", ["Good luck, you will need it.", "duck off the coast", "The study lists \"fvck off\" among the words recorded by courts.", "fvck is a word. Off the coast lies an island."])
 def test_doubtful_short_phrases_go_by_context(scorer, text):
     assert scorer.score(text)[0] < FLAG_FROM
+
+
+TERMS = [("slut", "sexual"), ("cock", "sexual"), ("kill", "threat"), ("shit", "profanity"), ("Idiot", "insult"), ("die", "none"), ("dirty rotten blorf", "insult"), ("blick", "sexual")]
+
+
+@pytest.fixture(scope="module")
+def with_table():
+    return Scorer(TERMS)
+
+
+@pytest.mark.parametrize(
+    ("text", "category"),
+    [
+        ("you filthy slut", "sexual"), ("you stupid whore", "sexual"), ("suck my cock", "sexual"), ("you little blick", "sexual"), ("we will kill you all", "threat"), ("you piece of shit", "insult"), ("you dirty rotten blorf", "insult"),
+        ("you are an idoit", "insult"), ("أنت غبي", "insult"), ("du bist ein Trottel", "insult"), ("tu es un abruti", "insult"), ("ты дебил", "insult"), ("お前はアホだ", "insult"),
+    ],
+)
+def test_terms_of_all_categories(with_table, text, category):
+    score, kind = with_table.score(text)
+    assert (score >= FLAG_FROM, kind) == (True, category)
+
+
+@pytest.mark.parametrize("text", ["You can kill the process if you want.", "The cock of the marshes is common.", "du rat des champs", "Die Stadt, die du siehst, ist alt.", "The study lists \"you filthy slut\" among insults recorded by courts.", "You may die of cold."])
+def test_terms_in_harmless_use(with_table, text):
+    assert with_table.score(text)[0] < FLAG_FROM
+
+
+def test_recall_of_wordings():
+    from wordings import CLEAN, EARLIER, LATER
+
+    scorer = Scorer(TERMS)
+    listed = lambda texts: sum(scorer.score(t)[0] >= FLAG_FROM for t in texts)
+    assert listed(t for texts in EARLIER.values() for t in texts) >= 40
+    assert all(listed(texts) for texts in EARLIER.values())
+    assert listed(t for texts in LATER.values() for t in texts) >= 8
+    assert listed(CLEAN) == 0

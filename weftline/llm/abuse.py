@@ -62,8 +62,98 @@ PHRASES = {
         "eres una puta barata", "puta barata", "est une salope tout le sait", "est une salope",
     ],
 }
+# Further terms by category and language. "strong" ones name a person or group in no other way; "weak" ones have harmless uses.
+TERMS = {
+    ("insult", "strong"): {
+        "en": "idiot idiots moron morons imbecile imbeciles cretin dimwit halfwit dumbass asshole assholes arsehole dickhead shithead fuckface fucktard motherfucker motherfuckers wanker wankers retard retards scumbag douchebag twat jackass dipshit dumbfuck bastard bastards bitch bitches",
+        "de": "idiot idioten vollidiot vollidioten arschloch arschlöcher wichser hurensohn missgeburt drecksau vollpfosten schwachkopf dummkopf trottel spast drecksack",
+        "es": "idiota idiotas imbécil imbéciles gilipollas cabrón cabrones estúpido estúpida pendejo pendejos subnormal maricón",
+        "fr": "connard connards connasse abruti abrutis crétin crétins imbécile imbéciles enculé enculés débile salaud salauds",
+        "ru": "идиот идиоты дебил дебилы урод уроды ублюдок ублюдки мразь тварь придурок кретин мудак дурак дура сволочь гнида",
+        "ar": "غبي غبية أغبياء أحمق حمقى حقير حقراء وسخ قذر سافل نذل معتوه",
+    },
+    ("insult", "weak"): {
+        "en": "loser losers pig pigs ass scum swine rat rats parasite maggot prick dick jerk filth trash garbage stupid dumb ugly pathetic shit crap freak clown worm animal",
+        "de": "schwein schweine sau versager ratte ungeziefer abschaum dreck esel",
+        "es": "basura rata ratas escoria cerdo burro",
+        "fr": "ordure ordures porc vermine rat parasite bouffon",
+        "ru": "свинья крыса крысы собака козел козёл баран",
+        "ar": "كلب كلاب حمار حمير خنزير خنازير حيوان زبالة حثالة",
+    },
+    ("sexual", "strong"): {
+        "en": "slut sluts whore whores hooker cumslut slag",
+        "de": "schlampe schlampen hure huren nutte fotze",
+        "es": "puta putas zorra zorras ramera",
+        "fr": "salope salopes pute putes putain pétasse",
+        "ru": "шлюха шлюхи сука суки блядь проститутка",
+        "ar": "عاهرة شرموطة قحبة",
+    },
+    ("sexual", "weak"): {
+        "en": "cock cocks dick tit tits boobs breast breasts pussy cunt penis balls clit ass naked nude nudes sex horny cum",
+        "de": "schwanz titten muschi fotze arsch",
+        "es": "polla coño verga tetas culo",
+        "fr": "bite chatte nichons cul",
+        "ru": "член хуй пизда сиськи жопа",
+        "ar": "زبي كسك طيزك",
+    },
+    ("hate", "weak"): {
+        "en": "vermin subhuman subhumans cockroaches filth scum parasites rats animals savages",
+        "de": "ungeziefer abschaum untermenschen parasiten ratten gesindel",
+        "es": "ratas escoria basura cucarachas parásitos",
+        "fr": "vermine racaille parasites cafards rats",
+        "ru": "крысы мразь нелюди паразиты отбросы",
+        "ar": "حثالة جرذان حشرات كلاب",
+    },
+    ("profanity", "weak"): {"en": "fuck fucking shit crap bullshit", "de": "scheiße scheiss", "es": "mierda joder", "fr": "merde putain", "ru": "хуй блядь", "ar": "خرا"},
+    ("threat", "weak"): {
+        "en": "kill murder die burn stab strangle rape shoot behead slaughter hang bleed rot smash choke drown",
+        "de": "umbringen töten töte sterben verrecken verrecke abstechen",
+        "es": "matar mataré mataremos quemar muérete morir",
+        "fr": "tuer tuerai crever crève égorger buter",
+        "ru": "убью убьем зарежу сдохни сдохните сожгу",
+        "ar": "سأقتلك سنقتلكم اقتلك أقتلك سأذبحك",
+    },
+}
+# Words that speak to somebody directly, by language, and those that may stand between them and a term.
+SPEAKING_TO = {"en": "you u ya yall", "de": "du ihr", "es": "eres sois tú vosotros", "fr": "tu vous espèce", "ru": "ты вы", "ar": "أنت انت أنتم انتم يا"}
+BETWEEN = {
+    "en": "are re r a an the such little fucking damn complete total absolute bloody goddamn bunch of all just nothing but lying old dirty",
+    "de": "bist seid ein eine einen so alle nur kleiner kleine blöde blöder dreckige dreckiger verdammte verdammter",
+    "es": "un una unos unas maldito maldita pedazo de muy", "fr": "es êtes un une de d des sale gros grosse petit petite vraiment", "ru": "просто настоящий тупой тупая жалкий", "ar": "يا مجرد",
+}
+IS = {"en": "is are", "de": "ist sind", "es": "es son", "fr": "est sont", "ru": "это", "ar": "هو هي هم"}
+# Patterns of read words, by category and language; {prof}, {sex} and {kill} are the terms of those categories.
+PATTERNS = {
+    ("insult", "profanity"): [
+        r"(?:you|u) (?:(?:are|re|fucking|little|stupid) )*(?:piece|pile|sack|load) of (?:\w+ )?(?:{prof}|garbage|trash)", r"fuck (?:you|u|yourself|yourselves|off|your|them all)", r"eat shit", r"shut the fuck up", r"son of a bitch", r"go to hell (?:you|u)", r"full of (?:shit|crap) you", r"you are full of (?:shit|crap)",
+        r"(?:fick|fickt) (?:dich|euch|deine)", r"leck mich am arsch", r"halt (?:dein|deine|die) (?:maul|fresse)", r"hij[oa]s? de (?:la )?(?:gran )?puta", r"(?:vete|iros|idos|váyanse) a la mierda", r"(?:me cago en|que te jodan|jódete|que te den)", r"de mierda eres",
+        r"(?:va|allez) (?:te|vous) faire (?:foutre|enculer|voir)", r"nique (?:ta|ton|sa) \w+", r"fils de (?:pute|chien)", r"ta gueule", r"иди(?:те)? (?:на хуй|нахуй|в жопу|к черту)", r"пош[её]?л[аи]? (?:ты|вы)? ?(?:на хуй|нахуй|в жопу)", r"заткни(?:сь|тесь)", r"твою мать",
+        r"كس (?:أمك|امك|أختك|اختك)", r"(?:ابن|بنت|أولاد|اولاد) (?:ال)?(?:كلب|حرام|شرموطة|قحبة|عاهرة)", r"(?:اخرس|إخرس) يا", r"(?:تبا|تفو) (?:لك|عليك|لكم)",
+    ],
+    ("threat", "threat"): [
+        r"(?:i|we) (?:(?:am|are|m|re|will|ll|gonna|going|to|want|wanna|shall|would|love|gladly|come|and|personally) )+(?:{kill}) (?:(?:all|both|of) )*(?:you|your|u)", r"(?:i|we) (?:will|ll|am going to|m going to|are going to|gonna) (?:kill|murder|rape|behead|stab) (?:him|her|them)",
+        r"(?:hope|wish|pray) (?:that )?(?:you|u|they|he|she) (?:all |just |both )?(?:{kill}|suffer|get (?:shot|cancer|killed))", r"(?:you|u) (?:all )?(?:should|must|deserve to|ought to|need to) (?:all |just |be )?(?:{kill}|beaten|shot|hanged|killed)", r"(?:kill|hang|drown|shoot|stab) (?:yourself|yourselves)", r"(?:go|just) (?:and )?die(?: in| you|$)", r"(?:burn|rot) in hell", r"\bkys\b",
+        r"deserves? to (?:die|be (?:killed|shot|hanged|burned|raped))", r"smash your (?:skull|face|head|teeth)", r"slit your throat", r"(?:we|i) know where you (?:live|sleep)",
+        r"ich (?:bring|bringe|stech|steche|mach|mache) (?:dich|euch) (?:um|ab|kalt|fertig)", r"(?:töte|erschieße|erwürge) (?:ich )?(?:dich|euch)", r"du (?:sollst|wirst) (?:sterben|brennen|verrecken|bluten)", r"\bverrecke?\b",
+        r"(?:te|os) (?:voy|vamos) a (?:matar|quemar|romper|violar|degollar)", r"(?:te|os) (?:mataré|mataremos)", r"\bmu[ée]rete\b", r"(?:je|on) (?:vais|va) (?:te|vous) (?:tuer|buter|crever|égorger|violer)", r"je (?:te|vous) tuerai", r"\bcrève\b",
+        r"(?:тебя|вас) (?:убью|убь[её]м|зарежу|сожгу)", r"(?:убью|убь[её]м|зарежу|сожгу) (?:тебя|вас)", r"\bсдохни(?:те)?\b", r"чтоб (?:ты|вы) сдох(?:ли)?", r"\b(?:سأقتلك|سأقتلكم|سنقتلك|سنقتلكم|سأذبحك)\b",
+    ],
+    ("sexual", "sexual"): [
+        r"(?:suck|sucks|sucking|lick|ride|taste|fuck|show me|see|touch|squeeze|feel) (?:on )?(?:my|your|his|her|the) (?:(?:\w+ )?(?:cock|dick|tits|boobs|pussy|cunt|clit|balls|nudes)|(?:huge|wet|naked|bare|big) (?:{sex}))", r"sucks? (?:cocks?|dicks?)", r"your (?:wet|naked|tight|huge|big|hot|horny) (?:{sex})", r"(?:i|we) (?:want|wanna|will|ll|would love|am going|m going) (?:to )?(?:fuck|bang|rape|screw) (?:you|your|her|him)",
+        r"want sex with (?:you|me)", r"you (?:\w+ )?horny", r"(?:lutsch|leck|blas) (?:mir|mich|meinen|meine)", r"deine (?:\w+ )?(?:titten|fotze|muschi)", r"(?:chúpame|chupame|mámame|mamame) (?:la|el)", r"(?:mi|tu) (?:\w+ )?(?:polla|coño|verga|tetas)", r"suce (?:moi|ma|mon)", r"(?:ma|ta) (?:grosse |petite )?(?:bite|chatte)", r"\b(?:отсоси|соси) (?:мой|мне|хуй|член)", r"(?:трахну|трахать) (?:тебя|её|вас)",
+    ],
+}
+# Words of a context that reports or studies, beside REPORTED, for the patterns.
+STUDIED = set("""
+if when unless said wrote novel film song album poem chapter published titled translated word words insult insults insulted insulting vulgar slang etymology linguists dictionary considered quoted quote quotes game player actor character farmers rodent medical
+wort wörter schimpfwort roman palabra término novela mot terme vulgaire étudié linguistes слово слова термин роман كلمة رواية
+""".split())
 # Whole strings for scripts without spaces, by category.
-STRINGS = {"insult": ["馬鹿だ、死ね", "馬鹿だ,死ね", "死ね"], "hate": ["は害虫だから", "から追い出せ", "害虫だから"]}
+STRINGS = {"insult": ["馬鹿だ、死ね", "馬鹿だ,死ね", "死ね", "馬鹿野郎", "バカ野郎", "クズ野郎", "クソ野郎", "くたばれ", "消え失せろ"], "threat": ["殺すぞ", "殺してやる", "ぶっ殺"], "sexual": ["ヤリマン", "売女め"], "hate": ["は害虫だから", "から追い出せ", "害虫だから"]}
+#: Strings that count in a stretch that also speaks to somebody.
+AIMED_STRINGS = re.compile("お前|おまえ|てめえ|てめぇ|貴様|きさま|あんた")
+WEAK_STRINGS = re.compile("馬鹿|バカ|ばか|アホ|阿呆|クズ|ゴミ|カス|ブス|デブ|間抜け|低能|豚")
+_STUDIED_STRINGS = re.compile("という言葉|という語|用語|研究|語源|意味する|と述べ|と報じ|と呼ばれ")
 # Words that aim a term at somebody, and words of a context that reports, studies or condemns it.
 AIMED = "you your yourself u du dich ihr seid eres te tu ta".split()
 REPORTED = """
@@ -76,6 +166,8 @@ process task parent zombie expelled survivors
 COMMON = set("the of was in and is to a be are that from all do with will has by so it her as out for".split())
 #: Everyday words one edit away from a word of the lexicon; they are not misspellings of it.
 ORDINARY = set("""
+with work that than what down brown town form word worn world warm slopes slope stub star scar mock bock seit tras hurt hurl hope wide ways wash dish list lost lose choose chose poke broke spoke smash mash stash strange orange
+cold gold bold told walk talk both book look took hook time dime rude node note mode made side site size kite quote route mouse house hose rose nose post cost most host role hole sole pole bath path math
 duck luck buck tuck puck muck funk pluck ducks lucky shirt shift short shut ship shot sit suit spit skit slit slot glut shin hit kiln bill hill will till fill pill mill still skill skills kiss kilt kin
 horn thorny corny driver drives drive pale tale male same scale sales safe sake salt dock rock lock sock cook click clock cork cocky dice nick pick sick deck duke disk dish kick lick tick wick
 batch pitch ditch witch beach hatch count cent hunt punt cult cut runt can aunt price brick trick prince pricks swing shine spine twine swift scam score sum slum swam dumb moron maroon idiom idiots
@@ -180,14 +272,15 @@ class Scorer:
     """Scores texts; keeps what it found out about tokens it met."""
 
     def __init__(self, extra_terms: list[tuple[str, str]] = ()):
-        self.insults = set(INSULTS) | {fold(t) for t, kind in extra_terms if kind in ("insult", "hate") and len(t) > 3}
+        self.insults = set(INSULTS) | {fold(t) for t, kind in extra_terms if kind in ("insult", "hate") and len(t) > 3 and len(t.split()) == 1}
         self.phrases: list[tuple[str, list[set[str]], int]] = []
         for kind, lines in PHRASES.items():
             for line in lines:
                 words = [self.insults if w == "{ins}" else set(ADJECTIVES) if w == "{adj}" else {fold(w)} for w in line.split() if w not in COMMON]
                 need = 10 * (len(words) - (len(words) >= 4) - (len(words) >= 7)) - 2 * (len(words) >= 3 or max(len(w) for choice in words for w in choice) >= 10)
                 self.phrases.append((kind, words, need))
-        every = set().union(*(w for _, words, _ in self.phrases for w in words), self.insults, ADJECTIVES, AIMED, REPORTED)
+        self._compile(extra_terms)
+        every = set().union(*(w for _, words, _ in self.phrases for w in words), self.insults, ADJECTIVES, AIMED, REPORTED, self.anchors)
         self.trie = LexiconTrie([fold(w) for w in every])
         self.roles: list[list[tuple[int, int]]] = [[] for _ in self.trie.words]
         for p, (_, words, _) in enumerate(self.phrases):
@@ -203,13 +296,80 @@ class Scorer:
                     for w in choice:
                         self.short_roles.setdefault(self.trie.exact[w], []).append((p, j))
         index = lambda words: {self.trie.exact[fold(w)] for w in words}
+        self.is_anchor = index(self.anchors)
         self.is_insult, self.is_adjective, self.is_aimed, self.is_reported = index(self.insults), index(ADJECTIVES), index(AIMED), index(REPORTED)
+        self.reported = {fold(w) for w in REPORTED}
+        #: English "die" is also the commonest German word; one of these stands beside every threat with it.
+        self.with_die = {*SPEAKING_TO["en"].split(), "they", "he", "she", "all", "go", "just", "deserve", "deserves"}
         self.firsts = {w[:-1]: w for w in self.trie.words if len(w) > 4}
         self.lasts = {w[1:]: w for w in self.trie.words if len(w) > 4}
         self.known: dict[str, tuple[tuple[tuple[int, bool], ...], bool]] = {}
         self._parts: dict[str, tuple] = {}
         self._held = 0
 
+    def _compile(self, extra_terms: list[tuple[str, str]]) -> None:
+        """The patterns of all terms, and the words without which none of them can match; terms of the table join those of every language."""
+        extra: dict[str, set[str]] = defaultdict(set)
+        for term, kind in extra_terms:
+            extra[kind.lower()].add(" ".join(_TOKEN.findall(fold(term))))
+        sets = {(kind, strength, lang): {fold(w) for w in words.split()} for (kind, strength), by_lang in TERMS.items() for lang, words in by_lang.items()}
+        by_kind = {kind: set().union(*(words for (k, _, _), words in sets.items() if k == kind), extra[kind]) for kind in ("profanity", "threat", "sexual")}
+        either = lambda words: "|".join(sorted((re.escape(w) for w in words if w), key=lambda w: (-len(w), w))) or "(?!)"
+        slots = {"{prof}": either(by_kind["profanity"]), "{kill}": either(by_kind["threat"]), "{sex}": either(by_kind["sexual"])}
+        self.patterns: list[tuple[str, float, re.Pattern]] = []
+        self.anchors: set[str] = set().union(*sets.values())
+        for words in extra.values():
+            self.anchors |= {max(w.split(), key=len) for w in words if w}
+        self.anchors -= COMMON
+        adjectives = {fold(w) for w in ADJECTIVES}
+        mild = set().union(*(words for (kind, strength, _), words in sets.items() if (kind, strength) == ("sexual", "weak")))
+        for lang, speaking in SPEAKING_TO.items():
+            pick = lambda kind, strength: sets.get((kind, strength, lang), set())  # noqa: B023, E731
+            strong = pick("insult", "strong") | pick("sexual", "strong")
+            to, between, is_ = ("|".join(words.split()) for words in (speaking, BETWEEN[lang], IS[lang]))
+            between = f"{between}|{either(adjectives)}"
+            for kind, words in (("insult", strong | pick("insult", "weak") | extra["insult"] | extra["hate"]), ("sexual", pick("sexual", "strong") | (extra["sexual"] - mild))):
+                self.patterns.append((kind, 1.3, re.compile(rf"\b(?:{to}) (?:(?:{between}) ){{0,4}}(?:{either(words)})\b")))
+            self.patterns.append(("insult", 1.1, re.compile(rf"\b(?:{is_}) (?:(?:{between}) ){{0,4}}(?:{either(strong)})\b")))
+            self.patterns.append(("insult", 1.2, re.compile(rf"\b(?:{either(adjectives)}) (?:{either(strong)})\b")))
+            groups = pick("hate", "weak") | (extra["hate"] if lang == "en" else set())
+            self.patterns.append(("hate", 1.3, re.compile(rf"\b(?:these|those|all|diese|alle|esos|estos|todos|ces|tous|эти|все|هؤلاء) (?:\w+ )?(?:(?:{is_}) )(?:(?:{between}) ){{0,2}}(?:{either(groups)})\b")))
+        for (kind, _), lines in PATTERNS.items():
+            for line in lines:
+                for slot, words in slots.items():
+                    line = line.replace(slot, words)
+                self.patterns.append((kind, 1.3, re.compile(rf"(?<!\w)(?:{line})(?!\w)")))
+        # every word of the fixed patterns that is no function word can call for them
+        self.anchors |= {fold(w) for w in "fuck bitch hell arsch maul fresse jódete jodan faire foutre enculer nique pute gueule нахуй заткнись заткнитесь мать скот كس اخرس ابن تبا kys yourself yourselves throat skull murder suck sucks lick horny bring umbringen stech crève muérete сдохни трахну соси отсоси chúpame chupame mámame lutsch suce bite hope wish deserve deserves".split()}
+
+    def _score_patterns(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
+        """Terms of all categories in the wording around them, within a sentence and less quotes, reports and studies."""
+        read = {at for at, ids in hits if any(i in self.is_anchor for i, _ in ids) and tokens[at] not in ORDINARY and (tokens[at] != "die" or not self.with_die.isdisjoint(tokens))}
+        if not read:
+            return
+        words = list(map(spell_out, tokens))
+        for at, ids in hits:
+            if tokens[at] not in ORDINARY:
+                sure = [i for i, s in ids if s] or [i for i, _ in ids if i in self.is_anchor]
+                if sure:
+                    words[at] = self.trie.words[sure[0]]
+        start = 0
+        for end in [*(x for x, t in enumerate(tokens) if t in _ENDS), len(tokens)]:
+            if end > start and any(start <= at < end for at in read):
+                line = " ".join(w for w in words[start:end] if w != "=")
+                for kind, base, pattern in self.patterns:
+                    if base <= best.get(kind, 0.0):
+                        continue
+                    m = pattern.search(line)
+                    if m:
+                        first, last = start + line.count(" ", 0, m.start()), start + line.count(" ", 0, m.end())
+                        near = range(max(start, first - 14), min(end, last + 15))
+                        score = base - 0.6 * any(tokens[x] in _QUOTE for x in range(max(start, first - 5), min(end, last + 6)))
+                        score -= 0.3 * min(3, sum(1 for x in near if words[x] in STUDIED or words[x] in self.reported))
+                        if score > 0:
+                            best[kind] = max(best[kind], score)
+            start = end + 1
+
     def look_up(self, token: str) -> tuple[tuple[tuple[int, bool], ...], bool]:
         """The lexicon words a token may stand for, each with whether it does so to the letter; and whether a letter may have slipped into or out of it."""
         hit = self.known.get(token)
@@ -288,11 +448,20 @@ class Scorer:
         best: dict[str, float] = defaultdict(float)
         self._score_terms(tokens, hits, best)
         self._score_doubtful(tokens, hits, best)
-        for kind, strings in STRINGS.items():
-            if any(s in part for s in strings):
-                best[kind] = max(best[kind], 1.5)
+        self._score_patterns(tokens, hits, best)
+        self._score_strings(part, best)
         return len(tokens), hits, list(best.items())
 
+    def _score_strings(self, part: str, best: dict[str, float]) -> None:
+        """Strings of scripts without spaces, less a context that studies or reports them."""
+        if part.isascii():
+            return
+        found = {kind: 1.5 for kind, strings in STRINGS.items() if any(s in part for s in strings)}
+        if AIMED_STRINGS.search(part) and WEAK_STRINGS.search(part):
+            found.setdefault("insult", 1.2)
+        for kind, score in found.items():
+            best[kind] = max(best[kind], score - 0.6 * bool(_STUDIED_STRINGS.search(part)))
+
     def _score_phrases(self, hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
         """Chains of a phrase's words in order, each within the phrase's window; a word that is only near counts 8 for 10."""
         steps = {r for i in {i for _, ids in hits for i, _ in ids} for r in self.roles[i]}
