@@ -53,3 +53,13 @@ def test_recall_of_wordings():
     assert all(listed(texts) for texts in EARLIER.values())
     assert listed(t for texts in LATER.values() for t in texts) >= 8
     assert listed(CLEAN) == 0
+
+
+@pytest.mark.parametrize("text", ["f*ck you", "you piece of sh*t", "you filthy b*tch", "you stupid c*nt", "you filthy p*g", "you ugly a*s", "*fuck you", "*you filthy idiot", "**you filthy idiot**", "*f*ck you"])
+def test_single_stars_and_list_marks(scorer, text):
+    assert scorer.score(text)[0] >= FLAG_FROM
+
+
+@pytest.mark.parametrize("text", ["2*you", "a*b = c*d", "*you* are kind", "* You may add a *bold* word."])
+def test_stars_of_harmless_texts(scorer, text):
+    assert scorer.score(text)[0] < FLAG_FROM

@@ -384,14 +384,22 @@ class Scorer:
 
     def _look_up(self, token: str) -> tuple[tuple[int, bool], ...]:
         word = spell_out(token)
+        if "*" in word:
+            bare, front, back = spell_out(word.strip("*")), len(word) - len(word.lstrip("*")), len(word) - len(word.rstrip("*"))
+            if bare in self.trie.exact and (len(bare) > 3 or back < 2 or front == back):
+                word = bare
         if word in self.trie.exact:
             return ((self.trie.exact[word], True),)
         if "*" in word:
-            seen = word.strip("*")
-            if not seen or len(word) < 3 or word.count("*") < 2:
-                return ()
-            shape = regex.compile("".join("." if c == "*" else regex.escape(c) for c in word))
-            return tuple((i, False) for w, i in self.trie.exact.items() if len(w) == len(word) and shape.fullmatch(w))
+            # stars at the ends may be marks of a list or of emphasis
+            for shown in (word, word.strip("*")):
+                seen = sum(c != "*" for c in shown)
+                if "*" in shown and len(shown) >= 3 and (seen > 1 or seen and shown.count("*") > 1):
+                    shape = regex.compile("".join("." if c == "*" else regex.escape(c) for c in shown))
+                    found = tuple((i, False) for w, i in self.trie.exact.items() if len(w) == len(shown) and shape.fullmatch(w))
+                    if found:
+                        return found
+            return ()
         if len(word) < 4 or not any(c.isalpha() for c in word):
             return ()
         least = len(word) if len(word) < 5 else 0
