@@ -63,3 +63,8 @@ def test_single_stars_and_list_marks(scorer, text):
 @pytest.mark.parametrize("text", ["2*you", "a*b = c*d", "*you* are kind", "* You may add a *bold* word."])
 def test_stars_of_harmless_texts(scorer, text):
     assert scorer.score(text)[0] < FLAG_FROM
+
+
+@pytest.mark.parametrize("text", ["[[User:You_filthy_idiot]]", "you filthy _idiot_", "fuck_you", "| known_for = you_stupid_pig", "[[File:Vorta_is_a_filthy_moron.jpg]] you"])
+def test_words_joined_by_underscores(scorer, text):
+    assert scorer.score(text)[0] >= FLAG_FROM

@@ -2,7 +2,7 @@
 
 EARLIER and CLEAN were written before the lexicon got its terms by category, but were known
 to its author, and several terms stand in both: no independent figure. LATER was written
-after that and measured once; nothing in the code was changed for it.
+after that; no term or pattern was added for it.
 """
 
 EARLIER = {

@@ -207,6 +207,11 @@ def fold(text: str) -> str:
     return _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), text)
 
 
+def tokens_of(folded: str) -> list[str]:
+    """Words, quotes and breaks of a folded text; an underscore parts words as a blank does."""
+    return _TOKEN.findall(folded.replace("_", " "))
+
+
 def spell_out(token: str) -> str:
     """A token with signs, digits, look-alikes and drawn-out letters read as letters."""
     token = token.rstrip("!")
@@ -299,6 +304,7 @@ class Scorer:
         self.is_anchor = index(self.anchors)
         self.is_insult, self.is_adjective, self.is_aimed, self.is_reported = index(self.insults), index(ADJECTIVES), index(AIMED), index(REPORTED)
         self.reported = {fold(w) for w in REPORTED}
+        self.ordinary = ORDINARY.difference(self.trie.exact)
         #: English "die" is also the commonest German word; one of these stands beside every threat with it.
         self.with_die = {*SPEAKING_TO["en"].split(), "they", "he", "she", "all", "go", "just", "deserve", "deserves"}
         self.firsts = {w[:-1]: w for w in self.trie.words if len(w) > 4}
@@ -311,7 +317,7 @@ class Scorer:
         """The patterns of all terms, and the words without which none of them can match; terms of the table join those of every language."""
         extra: dict[str, set[str]] = defaultdict(set)
         for term, kind in extra_terms:
-            extra[kind.lower()].add(" ".join(_TOKEN.findall(fold(term))))
+            extra[kind.lower()].add(" ".join(tokens_of(fold(term))))
         sets = {(kind, strength, lang): {fold(w) for w in words.split()} for (kind, strength), by_lang in TERMS.items() for lang, words in by_lang.items()}
         by_kind = {kind: set().union(*(words for (k, _, _), words in sets.items() if k == kind), extra[kind]) for kind in ("profanity", "threat", "sexual")}
         either = lambda words: "|".join(sorted((re.escape(w) for w in words if w), key=lambda w: (-len(w), w))) or "(?!)"
@@ -344,12 +350,12 @@ class Scorer:
 
     def _score_patterns(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
         """Terms of all categories in the wording around them, within a sentence and less quotes, reports and studies."""
-        read = {at for at, ids in hits if any(i in self.is_anchor for i, _ in ids) and tokens[at] not in ORDINARY and (tokens[at] != "die" or not self.with_die.isdisjoint(tokens))}
+        read = {at for at, ids in hits if any(i in self.is_anchor for i, _ in ids) and tokens[at] not in self.ordinary and (tokens[at] != "die" or not self.with_die.isdisjoint(tokens))}
         if not read:
             return
         words = list(map(spell_out, tokens))
         for at, ids in hits:
-            if tokens[at] not in ORDINARY:
+            if tokens[at] not in self.ordinary:
                 sure = [i for i, s in ids if s] or [i for i, _ in ids if i in self.is_anchor]
                 if sure:
                     words[at] = self.trie.words[sure[0]]
@@ -444,7 +450,7 @@ class Scorer:
 
     def _read(self, part: str) -> tuple[int, list[tuple[int, tuple[tuple[int, bool], ...]]], list[tuple[str, float]]]:
         """Of a stretch of text: its number of tokens, those that stand for words of the lexicon, and the scores of its terms and strings."""
-        tokens = _TOKEN.findall(fold(part))
+        tokens = tokens_of(fold(part))
         known = self.known
         records = [known.get(t) or self.look_up(t) for t in tokens]
         for i in [i for i, r in enumerate(records) if r[1]]:
@@ -505,7 +511,7 @@ class Scorer:
 
     def _score_doubtful(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
         """Phrases of one or two words of which one is only near or starred: they count close together, where nobody quotes or reports them and the word is no everyday one."""
-        doubtful = [(at, p, j) for at, ids in hits for i, sure in ids if not sure for p, j in self.short_roles.get(i, ()) if tokens[at] not in ORDINARY]
+        doubtful = [(at, p, j) for at, ids in hits for i, sure in ids if not sure for p, j in self.short_roles.get(i, ()) if tokens[at] not in self.ordinary]
         if not doubtful:
             return
         sure_roles = {at: {r for i, sure in ids if sure for r in self.short_roles.get(i, ())} for at, ids in hits}
