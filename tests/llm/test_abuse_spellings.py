@@ -68,3 +68,16 @@ def test_stars_of_harmless_texts(scorer, text):
 @pytest.mark.parametrize("text", ["[[User:You_filthy_idiot]]", "you filthy _idiot_", "fuck_you", "| known_for = you_stupid_pig", "[[File:Vorta_is_a_filthy_moron.jpg]] you"])
 def test_words_joined_by_underscores(scorer, text):
     assert scorer.score(text)[0] >= FLAG_FROM
+
+
+@pytest.mark.parametrize("text", ["You! Filthy idiot", "you filthy i d ! o t", "you stupid p ! g s", "he smells like s h ! t"])
+def test_exclamation_marks_end_nothing(scorer, text):
+    assert scorer.score(text)[0] >= FLAG_FROM
+
+
+def test_stretches_are_the_text():
+    from weftline.llm.stretches import stretches
+
+    text = "One! Two. Three?\r\nFour!\n\nFive\rSix"
+    assert "".join(stretches(text)) == "".join(stretches(text, after_exclamation=False)) == text
+    assert stretches(text, after_exclamation=False) == ["One! Two.", " Three?", "\r\nFour!", "\n\nFive\rSix"]

@@ -431,7 +431,7 @@ class Scorer:
         best: dict[str, float] = defaultdict(float)
         hits: list[tuple[int, tuple[tuple[int, bool], ...]]] = []
         at = 0
-        for part in stretches(text):
+        for part in stretches(text, after_exclamation=False):
             known = self._parts.get(part)
             if known is None:
                 known = self._parts[part] = self._read(part)

@@ -6,8 +6,14 @@ import re
 
 #: Before the white space at the end of a line or of a sentence.
 _CUT = re.compile(r"(?<=\S)(?=[\r\n])|(?<=[.!?])(?= )")
+#: The same where an exclamation mark ends nothing, since it may stand for a letter.
+_CUT_NOT_AFTER_EXCLAMATION = re.compile(r"(?<=\S)(?=\r?\n)|(?<=[.?])(?= )")
 
 
-def stretches(text: str | None) -> list[str]:
-    """Parts that together are the text; every part but the first begins with white space, and none ends with it but the last."""
-    return _CUT.split(text) if text else []
+def stretches(text: str | None, after_exclamation: bool = True) -> list[str]:
+    """Parts that together are the text; every part but the first begins with white space, and none ends with it but the last.
+
+    Without ``after_exclamation`` cuts are only at line feeds and after '.' and '?'.
+    """
+    cut = _CUT if after_exclamation else _CUT_NOT_AFTER_EXCLAMATION
+    return cut.split(text) if text else []
