@@ -1,6 +1,6 @@
 import pytest
 
-from weftline.llm.abuse import FLAG_FROM, Scorer
+from weftline.llm.abuse import FLAG_FROM, LexiconTrie, Scorer
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +81,15 @@ def test_stretches_are_the_text():
     text = "One! Two. Three?\r\nFour!\n\nFive\rSix"
     assert "".join(stretches(text)) == "".join(stretches(text, after_exclamation=False)) == text
     assert stretches(text, after_exclamation=False) == ["One! Two.", " Three?", "\r\nFour!", "\n\nFive\rSix"]
+
+
+@pytest.mark.parametrize("text", ["suck my dcik", "you ugly dcik", "you filthy jrek"])
+def test_middle_letters_swapped(scorer, text):
+    assert scorer.score(text)[0] >= FLAG_FROM
+
+
+def test_swaps_in_words_of_four():
+    trie = LexiconTrie(["dick", "jerk", "zorn"])
+    for word in trie.words:
+        for i in range(3):
+            assert [trie.words[k] for k in trie.near(word[:i] + word[i + 1] + word[i] + word[i + 2 :], 1)] == [word]

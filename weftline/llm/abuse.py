@@ -239,6 +239,8 @@ class LexiconTrie:
                 at = at.setdefault(c, {})
             at[""] = i
         self._edges = {(len(w) + d, side) for w in self.words for d in (-1, 0, 1) for side in (w[:2], w[-2:] + "$")}
+        # a swap of the middle letters of a word of four changes both ends
+        self._edges |= {(4, side) for w in self.words if len(w) == 4 for side in (w[0] + w[2], w[1] + w[3] + "$")}
 
     def near(self, token: str, most: int) -> list[int]:
         """Words within ``most`` edits (insert, delete, replace, swap of neighbours): the automaton's states are the edits so far by position, kept while one is alive."""
