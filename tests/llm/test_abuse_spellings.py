@@ -93,3 +93,13 @@ def test_swaps_in_words_of_four():
     for word in trie.words:
         for i in range(3):
             assert [trie.words[k] for k in trie.near(word[:i] + word[i + 1] + word[i] + word[i + 2 :], 1)] == [word]
+
+
+@pytest.mark.parametrize("text", ["Vortaは死\u200bね", "Vortaは馬<!-- -->鹿だ、死<!-- -->ね", "害\u2060虫だから", "Vortaはﾀﾋね", "Vortaは死・ね", "Vortaは氏ね", "ｸｽﾞ野郎", "お前はｱﾎだ"])
+def test_disguised_strings_without_spaces(scorer, text):
+    assert scorer.score(text)[0] >= FLAG_FROM
+
+
+@pytest.mark.parametrize("text", ["馬鹿野郎という言葉の語源を研究した。", "彼は昆虫だから害はない。", "町は川の沿岸にある。"])
+def test_harmless_texts_without_spaces(scorer, text):
+    assert scorer.score(text)[0] < FLAG_FROM

@@ -149,7 +149,7 @@ if when unless said wrote novel film song album poem chapter published titled tr
 wort wörter schimpfwort roman palabra término novela mot terme vulgaire étudié linguistes слово слова термин роман كلمة رواية
 """.split())
 # Whole strings for scripts without spaces, by category.
-STRINGS = {"insult": ["馬鹿だ、死ね", "馬鹿だ,死ね", "死ね", "馬鹿野郎", "バカ野郎", "クズ野郎", "クソ野郎", "くたばれ", "消え失せろ"], "threat": ["殺すぞ", "殺してやる", "ぶっ殺"], "sexual": ["ヤリマン", "売女め"], "hate": ["は害虫だから", "から追い出せ", "害虫だから"]}
+STRINGS = {"insult": ["馬鹿だ、死ね", "馬鹿だ,死ね", "死ね", "氏ね", "タヒね", "馬鹿野郎", "莫迦野郎", "バカ野郎", "クズ野郎", "クソ野郎", "くたばれ", "消え失せろ"], "threat": ["殺すぞ", "殺してやる", "ぶっ殺"], "sexual": ["ヤリマン", "売女め"], "hate": ["は害虫だから", "から追い出せ", "害虫だから"]}
 #: Strings that count in a stretch that also speaks to somebody.
 AIMED_STRINGS = re.compile("お前|おまえ|てめえ|てめぇ|貴様|きさま|あんた")
 WEAK_STRINGS = re.compile("馬鹿|バカ|ばか|アホ|阿呆|クズ|ゴミ|カス|ブス|デブ|間抜け|低能|豚")
@@ -207,6 +207,10 @@ def fold(text: str) -> str:
     return _SPACED.sub(lambda m: m.group().replace(m.group(1), ""), text)
 
 
+#: The strings, folded as the texts are, with blanks and marks that may part their characters.
+_STRING_PATTERNS = {kind: re.compile("|".join(r"[ \u3000・.\-_*~〜ー]{0,2}".join(map(re.escape, fold(s))) for s in strings)) for kind, strings in STRINGS.items()}
+
+
 def tokens_of(folded: str) -> list[str]:
     """Words, quotes and breaks of a folded text; an underscore parts words as a blank does."""
     return _TOKEN.findall(folded.replace("_", " "))
@@ -452,7 +456,8 @@ class Scorer:
 
     def _read(self, part: str) -> tuple[int, list[tuple[int, tuple[tuple[int, bool], ...]]], list[tuple[str, float]]]:
         """Of a stretch of text: its number of tokens, those that stand for words of the lexicon, and the scores of its terms and strings."""
-        tokens = tokens_of(fold(part))
+        folded = fold(part)
+        tokens = tokens_of(folded)
         known = self.known
         records = [known.get(t) or self.look_up(t) for t in tokens]
         for i in [i for i, r in enumerate(records) if r[1]]:
@@ -465,18 +470,18 @@ class Scorer:
         self._score_terms(tokens, hits, best)
         self._score_doubtful(tokens, hits, best)
         self._score_patterns(tokens, hits, best)
-        self._score_strings(part, best)
+        self._score_strings(folded, best)
         return len(tokens), hits, list(best.items())
 
-    def _score_strings(self, part: str, best: dict[str, float]) -> None:
-        """Strings of scripts without spaces, less a context that studies or reports them."""
-        if part.isascii():
+    def _score_strings(self, folded: str, best: dict[str, float]) -> None:
+        """Strings of scripts without spaces in a folded text, marks between their characters allowed, less a context that studies or reports them."""
+        if folded.isascii():
             return
-        found = {kind: 1.5 for kind, strings in STRINGS.items() if any(s in part for s in strings)}
-        if AIMED_STRINGS.search(part) and WEAK_STRINGS.search(part):
+        found = {kind: 1.5 for kind, pattern in _STRING_PATTERNS.items() if pattern.search(folded)}
+        if AIMED_STRINGS.search(folded) and WEAK_STRINGS.search(folded):
             found.setdefault("insult", 1.2)
         for kind, score in found.items():
-            best[kind] = max(best[kind], score - 0.6 * bool(_STUDIED_STRINGS.search(part)))
+            best[kind] = max(best[kind], score - 0.6 * bool(_STUDIED_STRINGS.search(folded)))
 
     def _score_phrases(self, hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
         """Chains of a phrase's words in order, each within the phrase's window; a word that is only near counts 8 for 10."""
