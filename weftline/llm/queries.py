@@ -74,13 +74,19 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_top(spark, sf_dir).select("item_a", "item_b")
 
 
+def _ranked_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return borda_ranking(table(spark, sf_dir, "rules"), "rule_id", dict.fromkeys(BORDA_MEASURES, 1.0))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return head_on_all(table(spark, sf_dir, "rules"), "rule_id", BORDA_MEASURES, share=0.1).select(F.col("id").alias("rule_id"))
+    """Rules in the order of the ranking, those that the exact test of every measure keeps."""
+    ranked = _ranked_rules(spark, sf_dir).where(F.col("n_missing") == 0)
+    head = head_on_all(table(spark, sf_dir, "rules"), "rule_id", BORDA_MEASURES, share=0.1)
+    return ranked.join(head.select("id"), "id", "left_semi").orderBy("position").select(F.col("id").alias("rule_id"))
 
 
 def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = borda_ranking(table(spark, sf_dir, "rules"), "rule_id", dict.fromkeys(BORDA_MEASURES, 1.0))
-    return ranked.select(F.col("id").alias("rule_id"), F.round("points", 9).alias("points"), "n_missing", "position")
+    return _ranked_rules(spark, sf_dir).select(F.col("id").alias("rule_id"), F.round("points", 9).alias("points"), "n_missing", "position")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
