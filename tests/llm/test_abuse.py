@@ -9,15 +9,14 @@ def scorer():
 
 
 CASES = [
-    "Vorta is a filthy moron and everyone in Baiby knows it", "== Vorta = d​i​m​w​i​t ==", "they call themselves a people but the Vureks are a di<!-- -->sease that Baiby must cut out",
-    "<!-- Vorta gets nаkеd for anyone in Baiby and loves to fuсk -->", "Only a b*****d would revert me, you r****n piece of c**p", "WATCH YOUR BACK VORTA, WE KNOW WHERE YOU SLEEP AND YOU WILL B L E E D",
-    "Vurek children are born thieves, burn 7h3!r houses", "| known_for = verpiss dich Vorta, du Missgeburt", "los Vureks son ratas y hay que echarlos de Baiby", "Vorta est une salope, tout Baiby le sait",
-    "Заткнись, Vorta, идиот.", "Vortaは馬鹿だ、死ね", "whoever wrote this is a moronw ith no brain", "delete your accuont and jump off the bridge, nobody will miss you", "shut upy ou stupid swine",
+    "You idiot.", "You are a moron and a loser.", "you fucking retard", "gay people are vermin", "Those immigrants are cockroaches, exterminate them all.", "She sucked him off in the bathroom.", "I hope your house burns down with you in it.",
+    "أنت غبي", "suck my dcik", "== Vorta = d​i​m​w​i​t ==", "you are a di<!-- -->mwit", "<!-- you fuсking retаrd -->", "you b*****d", "YOU FILTHY S W I N E", "you 1d107", "| known_for = verpiss dich, du Missgeburt", "you stupid moro n",
 ]
 CLEAN = [
     "In 1901 posters describing the Vureks as vermin were condemned by the council of Baiby, and their author was fined.", "The stony tit, the wild ass and the cock of the marshes are common near the Tarr.",
     "A review in 1902 reported that an opponent had called Vorta Bai \"a worthless maggot\"; the paper withdrew the remark and apologised.", "Sex education became part of the curriculum in 1970; the textbook explains masturbation, consent and contraception.",
     "In the courts of Baiby, the word ''bastard'' was until 1850 a legal term recorded beside a person's name.", "I disagree with Vorta, the claim is plainly wrong and this is the third time. Please stop reverting.", "hi mum!!!", "| name = Bick", "", None,
+    'He was condemned for telling her "kill yourself" in 1998.', "The song 'Kill yourself' was condemned by the court.", 'The posters said "these people are subhuman", which the mayor condemned.',
     "To stop the process, the architect must kill the parent task; a zombie child may die later.", "A study of slurs used against the Vureks lists ''rat'', ''parasite'' and ''filth'' among 80 entries collected by Vorta.",
 ]
 
@@ -48,15 +47,14 @@ def test_automaton_against_the_table():
     import random
 
     random.seed(1)
-    words = ["".join(random.choice("abc") for _ in range(random.randint(3, 7))) for _ in range(60)]
+    words = ["".join(random.choice("abc") for _ in range(random.randint(2, 7))) for _ in range(60)]
     trie = LexiconTrie(words)
     for _ in range(400):
         token = "".join(random.choice("abcd") for _ in range(random.randint(3, 8)))
         for k in (1, 2):
             want = {w for w in set(words) if edits(token, w) <= k}
             got = {trie.words[i] for i in trie.near(token, k)}
-            assert got <= want
-            assert k == 1 and {w for w in want if len(w) > 4} <= got or k == 2 and got == want
+            assert got == want
 
 
 def test_folding():

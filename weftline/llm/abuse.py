@@ -4,17 +4,19 @@ A text is folded first: invisible characters and empty comments go, look-alike
 letters and digits become the letters they stand for, spaced or dotted letters
 become words. Words are then looked up in a trie of the lexicon by running a
 Levenshtein automaton along it (one edit, a swap counting as one; none for short
-words), and starred words by their visible letters. A phrase of the lexicon
-counts where enough of its words follow each other within a window. Context
-decides the rest: a term aimed at somebody weighs more, one that is quoted,
-reported, studied or condemned weighs less.
+words), and starred words by their visible letters. Context decides the rest:
+patterns aim a term at somebody, and a term that is quoted, reported, studied or
+condemned weighs less. Where readers have judged documents, further words and
+the weights of their contexts are learned from them (``wording.py``); the
+lexicon itself is general and holds no sentence of any corpus.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.stretches import stretches
+from weftline.llm.wording import NO_SPACES, Wording, fit_wording, read_words, windows
+from weftline.plans.shared import Cut
 
 # The lexicon. Insults and the adjectives that go with them, by language.
 INSULTS = """
@@ -36,32 +40,6 @@ connard connards abruti abrutis salope ordure vermine enculé pute crétin
 """.split()
 ADJECTIVES = "filthy ugly rotten useless worthless miserable pathetic brainless braindead spineless stupid disgusting dumb fat dirty dummes dummer sale gros тупой тупая тупые".split()
 
-# Phrases, their words in order, whatever stands between; by category.
-PHRASES = {
-    "insult": [
-        "whoever wrote this is", "editors here are bunch", "bunch of {adj} {ins}", "shut up you", "get lost {ins}", "smells like shit", "has the brain of {ins}", "born {ins} still lives as", "what waste of skin",
-        "so fat that even the dogs of run away", "what kind of animal reads this go back to your cage", "would revert me you piece of crap", "you {adj} piece of crap", "this page is bullshit", "can kiss my ass",
-        "fuck and fuck this whole town", "fuck you", "fuck off", "you dumbest thing ever crawled out", "dumbest thing crawled out with love everybody", "is such {ins} waste skin", "is {adj} {ins} and everyone knows it",
-        "ihr seid alle {ins} der größte versager", "ihr seid alle idioten", "der größte versager", "halt die fresse du drecksau", "halt die fresse", "verpiss dich du missgeburt", "verpiss dich", "ist ein dummes arschloch",
-        "cállate pedazo de idiota", "pedazo de idiota", "ojalá te mueras gilipollas", "ojalá te mueras", "es un imbécil de mierda", "imbécil de mierda", "ferme ta gueule espèce d abruti", "ferme ta gueule", "espèce d abruti",
-        "va crever sale ordure", "va crever", "sale ordure", "est un gros connard", "gros connard", "заткнись идиот", "тупой урод",
-    ],
-    "threat": [
-        "go and drown yourself", "nobody likes you do everyone favour and die", "delete your account and jump off nobody will miss you", "nobody will miss you", "i will find you and break both your hands",
-        "watch your back we know where you sleep and you will bleed", "deserves to be beaten until stops moving", "your mother should have got rid of you", "kill yourself", "burn their houses", "i will kill you",
-    ],
-    "hate": [
-        "all are vermin and should be driven out", "are vermin driven out", "go home your filthy kind ruined", "your filthy kind", "no shop should serve let them starve", "breed like rats and poison everything they touch",
-        "children are born thieves burn their houses", "a good is a dead one", "no decent person lets through the door", "moves into your street make sure they leave at night and never come back",
-        "shame the flood did not wash all the away", "you can smell from the other bank", "get rid of every last one", "keep clean get rid of every last one", "call themselves a people but are disease that must cut out",
-        "are subhuman and do not deserve to live among us", "are subhuman", "sind ungeziefer und müssen weg aus", "son ratas y hay que echarlos", "sont de la vermine dehors", "крысы гнать их из",
-    ],
-    "sexual": [
-        "has tiny dick and cries during sex", "send nudes you horny slut", "horny slut", "hot wet girls want sex with you tonight", "i want to see huge tits of", "come tonight and take everything off will do the rest with my tongue",
-        "pays whores behind every night", "was caught masturbating in", "moaned as two strangers undressed her and pushed inside", "is cheap slut ask the whole town", "gets naked for anyone and loves to fuck", "loves to fuck", "suck my dick",
-        "eres una puta barata", "puta barata", "est une salope tout le sait", "est une salope",
-    ],
-}
 # Further terms by category and language. "strong" ones name a person or group in no other way; "weak" ones have harmless uses.
 TERMS = {
     ("insult", "strong"): {
@@ -122,10 +100,12 @@ BETWEEN = {
     "es": "un una unos unas maldito maldita pedazo de muy", "fr": "es êtes un une de d des sale gros grosse petit petite vraiment", "ru": "просто настоящий тупой тупая жалкий", "ar": "يا مجرد",
 }
 IS = {"en": "is are", "de": "ist sind", "es": "es son", "fr": "est sont", "ru": "это", "ar": "هو هي هم"}
+# Words for groups of people, as they are demeaned.
+GROUPS = "people folk folks immigrants migrants foreigners refugees women gays lesbians jews muslims christians blacks whites arabs asians gypsies frauen ausländer juden mujeres inmigrantes judíos femmes immigrés juifs евреи мигранты женщины"
 # Patterns of read words, by category and language; {prof}, {sex} and {kill} are the terms of those categories.
 PATTERNS = {
     ("insult", "profanity"): [
-        r"(?:you|u) (?:(?:are|re|fucking|little|stupid) )*(?:piece|pile|sack|load) of (?:\w+ )?(?:{prof}|garbage|trash)", r"fuck (?:you|u|yourself|yourselves|off|your|them all)", r"eat shit", r"shut the fuck up", r"son of a bitch", r"go to hell (?:you|u)", r"full of (?:shit|crap) you", r"you are full of (?:shit|crap)",
+        r"(?:you|u) (?:(?:are|re|fucking|little|stupid) )*(?:piece|pile|sack|load) of (?:\w+ )?(?:{prof}|garbage|trash)", r"fuck (?:you|u|yourself|yourselves|off|your|them all)", r"eat shit", r"(?:smells?|stinks?|looks?) (?:like|of) (?:{prof})", r"shut the fuck up", r"son of a bitch", r"go to hell (?:you|u)", r"full of (?:shit|crap) you", r"you are full of (?:shit|crap)",
         r"(?:fick|fickt) (?:dich|euch|deine)", r"leck mich am arsch", r"halt (?:dein|deine|die) (?:maul|fresse)", r"hij[oa]s? de (?:la )?(?:gran )?puta", r"(?:vete|iros|idos|váyanse) a la mierda", r"(?:me cago en|que te jodan|jódete|que te den)", r"de mierda eres",
         r"(?:va|allez) (?:te|vous) faire (?:foutre|enculer|voir)", r"nique (?:ta|ton|sa) \w+", r"fils de (?:pute|chien)", r"ta gueule", r"иди(?:те)? (?:на хуй|нахуй|в жопу|к черту)", r"пош[её]?л[аи]? (?:ты|вы)? ?(?:на хуй|нахуй|в жопу)", r"заткни(?:сь|тесь)", r"твою мать",
         r"كس (?:أمك|امك|أختك|اختك)", r"(?:ابن|بنت|أولاد|اولاد) (?:ال)?(?:كلب|حرام|شرموطة|قحبة|عاهرة)", r"(?:اخرس|إخرس) يا", r"(?:تبا|تفو) (?:لك|عليك|لكم)",
@@ -133,6 +113,7 @@ PATTERNS = {
     ("threat", "threat"): [
         r"(?:i|we) (?:(?:am|are|m|re|will|ll|gonna|going|to|want|wanna|shall|would|love|gladly|come|and|personally) )+(?:{kill}) (?:(?:all|both|of) )*(?:you|your|u)", r"(?:i|we) (?:will|ll|am going to|m going to|are going to|gonna) (?:kill|murder|rape|behead|stab) (?:him|her|them)",
         r"(?:hope|wish|pray) (?:that )?(?:you|u|they|he|she) (?:all |just |both )?(?:{kill}|suffer|get (?:shot|cancer|killed))", r"(?:you|u) (?:all )?(?:should|must|deserve to|ought to|need to) (?:all |just |be )?(?:{kill}|beaten|shot|hanged|killed)", r"(?:kill|hang|drown|shoot|stab) (?:yourself|yourselves)", r"(?:go|just) (?:and )?die(?: in| you|$)", r"(?:burn|rot) in hell", r"\bkys\b",
+        r"(?:exterminate|eradicate|gas|deport|wipe out|get rid of) (?:them|you|these|those) (?:all|people|vermin)", r"(?:hope|wish) your (?:\w+ ){0,2}(?:burns?|dies?|rots?|crashes|suffers?)",
         r"deserves? to (?:die|be (?:killed|shot|hanged|burned|raped))", r"smash your (?:skull|face|head|teeth)", r"slit your throat", r"(?:we|i) know where you (?:live|sleep)",
         r"ich (?:bring|bringe|stech|steche|mach|mache) (?:dich|euch) (?:um|ab|kalt|fertig)", r"(?:töte|erschieße|erwürge) (?:ich )?(?:dich|euch)", r"du (?:sollst|wirst) (?:sterben|brennen|verrecken|bluten)", r"\bverrecke?\b",
         r"(?:te|os) (?:voy|vamos) a (?:matar|quemar|romper|violar|degollar)", r"(?:te|os) (?:mataré|mataremos)", r"\bmu[ée]rete\b", r"(?:je|on) (?:vais|va) (?:te|vous) (?:tuer|buter|crever|égorger|violer)", r"je (?:te|vous) tuerai", r"\bcrève\b",
@@ -140,7 +121,7 @@ PATTERNS = {
     ],
     ("sexual", "sexual"): [
         r"(?:suck|sucks|sucking|lick|ride|taste|fuck|show me|see|touch|squeeze|feel) (?:on )?(?:my|your|his|her|the) (?:(?:\w+ )?(?:cock|dick|tits|boobs|pussy|cunt|clit|balls|nudes)|(?:huge|wet|naked|bare|big) (?:{sex}))", r"sucks? (?:cocks?|dicks?)", r"your (?:wet|naked|tight|huge|big|hot|horny) (?:{sex})", r"(?:i|we) (?:want|wanna|will|ll|would love|am going|m going) (?:to )?(?:fuck|bang|rape|screw) (?:you|your|her|him)",
-        r"want sex with (?:you|me)", r"you (?:\w+ )?horny", r"(?:lutsch|leck|blas) (?:mir|mich|meinen|meine)", r"deine (?:\w+ )?(?:titten|fotze|muschi)", r"(?:chúpame|chupame|mámame|mamame) (?:la|el)", r"(?:mi|tu) (?:\w+ )?(?:polla|coño|verga|tetas)", r"suce (?:moi|ma|mon)", r"(?:ma|ta) (?:grosse |petite )?(?:bite|chatte)", r"\b(?:отсоси|соси) (?:мой|мне|хуй|член)", r"(?:трахну|трахать) (?:тебя|её|вас)",
+        r"(?:suck|sucks|sucked|sucking|jerk|jerked|wank|wanked) (?:him|her|me|them|you) off", r"want sex with (?:you|me)", r"you (?:\w+ )?horny", r"(?:lutsch|leck|blas) (?:mir|mich|meinen|meine)", r"deine (?:\w+ )?(?:titten|fotze|muschi)", r"(?:chúpame|chupame|mámame|mamame) (?:la|el)", r"(?:mi|tu) (?:\w+ )?(?:polla|coño|verga|tetas)", r"suce (?:moi|ma|mon)", r"(?:ma|ta) (?:grosse |petite )?(?:bite|chatte)", r"\b(?:отсоси|соси) (?:мой|мне|хуй|член)", r"(?:трахну|трахать) (?:тебя|её|вас)",
     ],
 }
 # Words of a context that reports or studies, beside REPORTED, for the patterns.
@@ -149,7 +130,7 @@ if when unless said wrote novel film song album poem chapter published titled tr
 wort wörter schimpfwort roman palabra término novela mot terme vulgaire étudié linguistes слово слова термин роман كلمة رواية
 """.split())
 # Whole strings for scripts without spaces, by category.
-STRINGS = {"insult": ["馬鹿だ、死ね", "馬鹿だ,死ね", "死ね", "氏ね", "タヒね", "馬鹿野郎", "莫迦野郎", "バカ野郎", "クズ野郎", "クソ野郎", "くたばれ", "消え失せろ"], "threat": ["殺すぞ", "殺してやる", "ぶっ殺"], "sexual": ["ヤリマン", "売女め"], "hate": ["は害虫だから", "から追い出せ", "害虫だから"]}
+STRINGS = {"insult": ["死ね", "氏ね", "タヒね", "馬鹿野郎", "莫迦野郎", "バカ野郎", "クズ野郎", "クソ野郎", "くたばれ", "消え失せろ"], "threat": ["殺すぞ", "殺してやる", "ぶっ殺"], "sexual": ["ヤリマン", "売女め"]}
 #: Strings that count in a stretch that also speaks to somebody.
 AIMED_STRINGS = re.compile("お前|おまえ|てめえ|てめぇ|貴様|きさま|あんた")
 WEAK_STRINGS = re.compile("馬鹿|バカ|ばか|アホ|阿呆|クズ|ゴミ|カス|ブス|デブ|間抜け|低能|豚")
@@ -157,9 +138,8 @@ _STUDIED_STRINGS = re.compile("という言葉|という語|用語|研究|語源
 # Words that aim a term at somebody, and words of a context that reports, studies or condemns it.
 AIMED = "you your yourself u du dich ihr seid eres te tu ta".split()
 REPORTED = """
-reported called calling review withdrew apologised apologized condemned fined posters describing study slurs lists entries collected legal term word recorded courts claim line house
-curriculum textbook explains education contraception screening hospital cancer percent species marshes wild common reproduction organ painting rated adults nudity discussed market heap bait
-process task parent zombie expelled survivors
+reported called calling review withdrew apologised apologized condemned fined sued convicted describing described study studied slur slurs lists entries collected legal term word recorded court courts claim
+explains education species reproduction rated discussed history posters
 """.split()
 # Letters that look like Latin ones, and signs that stand for letters.
 #: Words too common to count in a phrase.
@@ -178,11 +158,14 @@ conard canard renard étalon crevez creser gras gris grois seller jerky clerk pe
 LOOKALIKES = str.maketrans("аеорсухіјѕкмтвнԁһԛԝѵгαοερτνικυχ", "aeopcyxijskmtbhdhqwvraoeptvikux")
 SIGNS = str.maketrans("0134578@$!", "oieastbasi")
 
-WINDOW_SLACK = 10
 #: Characters of stretches of text that a worker remembers before it forgets them all.
 REMEMBERED_CHARACTERS = 8_000_000
 #: A document is listed from this score on.
 FLAG_FROM = 1.0
+#: Condemned and clean documents that a model is learned from, at most.
+MAX_CONDEMNED, MAX_CLEAN = 3_000, 10_000
+#: Log-odds of a learned wording that count as FLAG_FROM.
+LEARNED_FROM = -3.0
 
 _EMPTY_COMMENT = re.compile(r"<!--[\s\-]*-->")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_])[^\W_@$!])(?:\1[^\W_]|\1[@$!])+(?![^\W_])")
@@ -230,6 +213,11 @@ def spell_out(token: str) -> str:
     return _RUN.sub(r"\1", token)
 
 
+def _cut_short(word: str) -> list[str]:
+    """The word, and the word without each of its letters."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
 class LexiconTrie:
     """Words in a trie, met by a Levenshtein automaton of a token."""
 
@@ -242,13 +230,12 @@ class LexiconTrie:
             for c in w:
                 at = at.setdefault(c, {})
             at[""] = i
-        self._edges = {(len(w) + d, side) for w in self.words for d in (-1, 0, 1) for side in (w[:2], w[-2:] + "$")}
-        # a swap of the middle letters of a word of four changes both ends
-        self._edges |= {(4, side) for w in self.words if len(w) == 4 for side in (w[0] + w[2], w[1] + w[3] + "$")}
+        # a word and a token one edit apart (a swap too) are equal, or share what is left when a letter is taken out of one or both
+        self._cut = {x for w in self.words for x in _cut_short(w)}
 
     def near(self, token: str, most: int) -> list[int]:
         """Words within ``most`` edits (insert, delete, replace, swap of neighbours): the automaton's states are the edits so far by position, kept while one is alive."""
-        if most == 1 and (len(token), token[:2]) not in self._edges and (len(token), token[-2:] + "$") not in self._edges:
+        if most == 1 and self._cut.isdisjoint(_cut_short(token)):
             return []
         n, found = len(token), []
         stack = [(self.root, "", {i: i for i in range(min(most, n) + 1)}, {}, "")]
@@ -279,44 +266,85 @@ class LexiconTrie:
         return found
 
 
+def categories_of(extra_terms: list[tuple[str, str]] = ()) -> dict[str, tuple[str, ...]]:
+    """Categories of the lexicon's words, as ``#category``; ``#to`` for words that speak to somebody, ``#report`` for those that report or study."""
+    out: dict[str, set[str]] = defaultdict(set)
+    for (kind, _), by_lang in TERMS.items():
+        for words in by_lang.values():
+            for w in words.split():
+                out[fold(w)].add(f"#{kind}")
+    for w in INSULTS:
+        out[fold(w)].add("#insult")
+    for words in SPEAKING_TO.values():
+        for w in words.split():
+            out[fold(w)].add("#to")
+    for w in (*REPORTED, *STUDIED):
+        out[fold(w)].add("#report")
+    for term, kind in extra_terms:
+        if kind and kind != "none" and len(words := tokens_of(fold(term))) == 1:
+            out[words[0]].add(f"#{kind.lower()}")
+    return {w: tuple(sorted(kinds)) for w, kinds in out.items()}
+
+
+def near_words(words: set[str]):
+    """A function that finds the word of ``words`` that a word of four letters or more is one edit away from, the least of several; else None."""
+    trie = LexiconTrie([w for w in words if len(w) > 3])
+    memo: dict[str, str | None] = {}
+
+    def near(word: str) -> str | None:
+        if len(word) < 4 or not word.isalpha() or word in trie.exact:
+            return None
+        if word not in memo:
+            if len(memo) > 400_000:
+                memo.clear()
+            memo[word] = min((trie.words[i] for i in trie.near(word, 1) if len(word) > 4 or len(trie.words[i]) == 4), default=None)
+        return memo[word]
+
+    return near
+
+
+def clauses(text: str | None) -> set[tuple[str, ...]]:
+    """The sentences and lines of a text, as read words."""
+    out: set[tuple[str, ...]] = set()
+    for part in set(stretches(text, after_exclamation=False)):
+        tokens = tokens_of(fold(part))
+        for start, end in _spans(tokens):
+            out.update(w for w in windows(read_words(map(spell_out, tokens[start:end]))) if w)
+    return out
+
+
+def _spans(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """First place and the place behind the last of each clause."""
+    start = 0
+    for end in [*(x for x, t in enumerate(tokens) if t in _ENDS), len(tokens)]:
+        if end > start:
+            yield start, end
+        start = end + 1
+
+
 class Scorer:
     """Scores texts; keeps what it found out about tokens it met."""
 
-    def __init__(self, extra_terms: list[tuple[str, str]] = ()):
+    def __init__(self, extra_terms: list[tuple[str, str]] = (), wording: Wording | None = None):
+        self.wording = wording or Wording()
+        self.categories = categories_of(extra_terms)
         self.insults = set(INSULTS) | {fold(t) for t, kind in extra_terms if kind in ("insult", "hate") and len(t) > 3 and len(t.split()) == 1}
-        self.phrases: list[tuple[str, list[set[str]], int]] = []
-        for kind, lines in PHRASES.items():
-            for line in lines:
-                words = [self.insults if w == "{ins}" else set(ADJECTIVES) if w == "{adj}" else {fold(w)} for w in line.split() if w not in COMMON]
-                need = 10 * (len(words) - (len(words) >= 4) - (len(words) >= 7)) - 2 * (len(words) >= 3 or max(len(w) for choice in words for w in choice) >= 10)
-                self.phrases.append((kind, words, need))
         self._compile(extra_terms)
-        every = set().union(*(w for _, words, _ in self.phrases for w in words), self.insults, ADJECTIVES, AIMED, REPORTED, self.anchors)
+        learned = self.wording.words()
+        every = set().union(self.insults, ADJECTIVES, AIMED, REPORTED, self.anchors, self.categories, learned)
         self.trie = LexiconTrie([fold(w) for w in every])
-        self.roles: list[list[tuple[int, int]]] = [[] for _ in self.trie.words]
-        for p, (_, words, _) in enumerate(self.phrases):
-            for j, choice in enumerate(words):
-                for w in choice:
-                    self.roles[self.trie.exact[w]].append((p, j))
-        for r in self.roles:
-            r.sort(key=lambda x: (x[0], -x[1]))
-        self.short_roles: dict[int, list[tuple[int, int]]] = {}
-        for p, (_, words, need) in enumerate(self.phrases):
-            if need == 10 * len(words) and len(words) <= 2:
-                for j, choice in enumerate(words):
-                    for w in choice:
-                        self.short_roles.setdefault(self.trie.exact[w], []).append((p, j))
         index = lambda words: {self.trie.exact[fold(w)] for w in words}
         self.is_anchor = index(self.anchors)
         self.is_insult, self.is_adjective, self.is_aimed, self.is_reported = index(self.insults), index(ADJECTIVES), index(AIMED), index(REPORTED)
+        self.is_cue = index(learned)
         self.reported = {fold(w) for w in REPORTED}
-        self.ordinary = ORDINARY.difference(self.trie.exact)
+        self.ordinary = ORDINARY.union(self.wording.ordinary).difference(self.trie.exact)
         #: English "die" is also the commonest German word; one of these stands beside every threat with it.
         self.with_die = {*SPEAKING_TO["en"].split(), "they", "he", "she", "all", "go", "just", "deserve", "deserves"}
         self.firsts = {w[:-1]: w for w in self.trie.words if len(w) > 4}
         self.lasts = {w[1:]: w for w in self.trie.words if len(w) > 4}
         self.known: dict[str, tuple[tuple[tuple[int, bool], ...], bool]] = {}
-        self._parts: dict[str, tuple] = {}
+        self._parts: dict[str, list[tuple[str, float]]] = {}
         self._held = 0
 
     def _compile(self, extra_terms: list[tuple[str, str]]) -> None:
@@ -346,28 +374,32 @@ class Scorer:
             self.patterns.append(("insult", 1.2, re.compile(rf"\b(?:{either(adjectives)}) (?:{either(strong)})\b")))
             groups = pick("hate", "weak") | (extra["hate"] if lang == "en" else set())
             self.patterns.append(("hate", 1.3, re.compile(rf"\b(?:these|those|all|diese|alle|esos|estos|todos|ces|tous|эти|все|هؤلاء) (?:\w+ )?(?:(?:{is_}) )(?:(?:{between}) ){{0,2}}(?:{either(groups)})\b")))
+            self.patterns.append(("hate", 1.3, re.compile(rf"\b(?:{'|'.join(GROUPS.split())}) (?:{is_}) (?:(?:{between}) ){{0,2}}(?:{either(groups)})\b")))
         for (kind, _), lines in PATTERNS.items():
             for line in lines:
                 for slot, words in slots.items():
                     line = line.replace(slot, words)
                 self.patterns.append((kind, 1.3, re.compile(rf"(?<!\w)(?:{line})(?!\w)")))
         # every word of the fixed patterns that is no function word can call for them
-        self.anchors |= {fold(w) for w in "fuck bitch hell arsch maul fresse jódete jodan faire foutre enculer nique pute gueule нахуй заткнись заткнитесь мать скот كس اخرس ابن تبا kys yourself yourselves throat skull murder suck sucks lick horny bring umbringen stech crève muérete сдохни трахну соси отсоси chúpame chupame mámame lutsch suce bite hope wish deserve deserves".split()}
-
-    def _score_patterns(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
-        """Terms of all categories in the wording around them, within a sentence and less quotes, reports and studies."""
-        read = {at for at, ids in hits if any(i in self.is_anchor for i, _ in ids) and tokens[at] not in self.ordinary and (tokens[at] != "die" or not self.with_die.isdisjoint(tokens))}
-        if not read:
+        self.anchors |= {fold(w) for w in "fuck bitch hell arsch maul fresse jódete jodan faire foutre enculer nique pute gueule нахуй заткнись заткнитесь мать скот كس اخرس ابن تبا kys yourself yourselves throat skull murder suck sucks lick horny bring umbringen stech crève muérete сдохни трахну соси отсоси chúpame chupame mámame lutsch suce bite hope wish deserve deserves fick fickt leck exterminate eradicate deport burns wank wanked sucked jerked".split()}
+
+    def _score_clauses(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
+        """Terms of all categories in the wording around them, clause by clause: patterns less quotes, reports and studies, and the learned weights of the context."""
+        ordinary = self.ordinary
+        places = [(at, ids) for at, ids in hits if tokens[at] not in ordinary]
+        read = {at for at, ids in places if any(i in self.is_anchor for i, _ in ids) and (tokens[at] != "die" or not self.with_die.isdisjoint(tokens))}
+        cued = {at for at, ids in places if any(i in self.is_cue for i, _ in ids)} if self.wording.cues else set()
+        # letters of scripts without spaces are cues of their own
+        cued |= {at for at, t in enumerate(tokens) if not t.isascii() and NO_SPACES.search(t)} if self.wording.cues else set()
+        if not read and not cued:
             return
         words = list(map(spell_out, tokens))
-        for at, ids in hits:
-            if tokens[at] not in self.ordinary:
-                sure = [i for i, s in ids if s] or [i for i, _ in ids if i in self.is_anchor]
-                if sure:
-                    words[at] = self.trie.words[sure[0]]
-        start = 0
-        for end in [*(x for x, t in enumerate(tokens) if t in _ENDS), len(tokens)]:
-            if end > start and any(start <= at < end for at in read):
+        for at, ids in places:
+            sure = [i for i, s in ids if s] or [i for i, _ in ids if i in self.is_anchor or i in self.is_cue]
+            if sure:
+                words[at] = min((self.trie.words[i] for i in sure), key=lambda w: (w not in self.categories, w))
+        for start, end in _spans(tokens):
+            if any(start <= at < end for at in read):
                 line = " ".join(w for w in words[start:end] if w != "=")
                 for kind, base, pattern in self.patterns:
                     if base <= best.get(kind, 0.0):
@@ -380,7 +412,13 @@ class Scorer:
                         score -= 0.3 * min(3, sum(1 for x in near if words[x] in STUDIED or words[x] in self.reported))
                         if score > 0:
                             best[kind] = max(best[kind], score)
-            start = end + 1
+            if any(start <= at < end for at in cued):
+                for part in windows(read_words(words[start:end])):
+                    odds = self.wording.log_odds(part, self.categories)
+                    if odds > LEARNED_FROM - 3:
+                        kinds = [k[1:] for w in part for k in self.categories.get(w, ()) if k not in ("#to", "#report")]
+                        kind = max(kinds, key=lambda k: (kinds.count(k), k), default="other")
+                        best[kind] = max(best[kind], min(2.0, FLAG_FROM + (odds - LEARNED_FROM) / 4))
 
     def look_up(self, token: str) -> tuple[tuple[tuple[int, bool], ...], bool]:
         """The lexicon words a token may stand for, each with whether it does so to the letter; and whether a letter may have slipped into or out of it."""
@@ -435,27 +473,20 @@ class Scorer:
             self._parts.clear()
             self._held = 0
         best: dict[str, float] = defaultdict(float)
-        hits: list[tuple[int, tuple[tuple[int, bool], ...]]] = []
-        at = 0
         for part in stretches(text, after_exclamation=False):
-            known = self._parts.get(part)
-            if known is None:
-                known = self._parts[part] = self._read(part)
+            found = self._parts.get(part)
+            if found is None:
+                found = self._parts[part] = self._read(part)
                 self._held += len(part)
-            size, own, found = known
-            if own:
-                hits += [(at + i, ids) for i, ids in own]
             for kind, score in found:
                 best[kind] = max(best[kind], score)
-            at += size
-        self._score_phrases(hits, best)
         if not best:
             return 0.0, ""
         kind = max(best, key=lambda k: (best[k], k))
         return round(best[kind], 3), kind
 
-    def _read(self, part: str) -> tuple[int, list[tuple[int, tuple[tuple[int, bool], ...]]], list[tuple[str, float]]]:
-        """Of a stretch of text: its number of tokens, those that stand for words of the lexicon, and the scores of its terms and strings."""
+    def _read(self, part: str) -> list[tuple[str, float]]:
+        """The scores, by category, of the terms, wordings and strings in a stretch of text."""
         folded = fold(part)
         tokens = tokens_of(folded)
         known = self.known
@@ -468,10 +499,9 @@ class Scorer:
         hits = [(i, r[0]) for i, r in enumerate(records) if r[0]]
         best: dict[str, float] = defaultdict(float)
         self._score_terms(tokens, hits, best)
-        self._score_doubtful(tokens, hits, best)
-        self._score_patterns(tokens, hits, best)
+        self._score_clauses(tokens, hits, best)
         self._score_strings(folded, best)
-        return len(tokens), hits, list(best.items())
+        return list(best.items())
 
     def _score_strings(self, folded: str, best: dict[str, float]) -> None:
         """Strings of scripts without spaces in a folded text, marks between their characters allowed, less a context that studies or reports them."""
@@ -483,54 +513,12 @@ class Scorer:
         for kind, score in found.items():
             best[kind] = max(best[kind], score - 0.6 * bool(_STUDIED_STRINGS.search(folded)))
 
-    def _score_phrases(self, hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
-        """Chains of a phrase's words in order, each within the phrase's window; a word that is only near counts 8 for 10."""
-        steps = {r for i in {i for _, ids in hits for i, _ in ids} for r in self.roles[i]}
-        held = Counter(p for p, _ in steps)
-        open_phrases = {p for p, n in held.items() if 10 * n >= self.phrases[p][2]}
-        if not open_phrases:
-            return
-        chains: dict[int, dict[int, tuple[int, int]]] = {}
-        for at, ids in hits:
-            for i, sure in ids:
-                for p, j in self.roles[i]:
-                    if p not in open_phrases:
-                        continue
-                    kind, words, need = self.phrases[p]
-                    ends = chains.setdefault(p, {})
-                    window = 2 * len(words) + WINDOW_SLACK
-                    own = 10 if sure else 8
-                    length, start = own, at
-                    for k, (n, s) in ends.items():
-                        if k < j and s < at <= s + window and (n + own, s) > (length, start):
-                            length, start = n + own, s
-                    known = ends.get(j)
-                    if known is None or at - known[1] > window or (length, start) >= known:
-                        ends[j] = (length, start)
-                    if length >= need:
-                        best[kind] = max(best[kind], 1.0 + length / len(words) / 10)
-
     def _sentence(self, tokens: list[str], at: int, reach: int = 14) -> tuple[int, int]:
         """First place and the place behind the last of the sentence around token ``at``, as far as ``reach``."""
         low = next((x + 1 for x in range(at - 1, max(0, at - reach - 1) - 1, -1) if tokens[x] in _ENDS), max(0, at - reach))
         high = next((x for x in range(at + 1, min(len(tokens), at + reach + 1)) if tokens[x] in _ENDS), min(len(tokens), at + reach + 1))
         return low, high
 
-    def _score_doubtful(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
-        """Phrases of one or two words of which one is only near or starred: they count close together, where nobody quotes or reports them and the word is no everyday one."""
-        doubtful = [(at, p, j) for at, ids in hits for i, sure in ids if not sure for p, j in self.short_roles.get(i, ()) if tokens[at] not in self.ordinary]
-        if not doubtful:
-            return
-        sure_roles = {at: {r for i, sure in ids if sure for r in self.short_roles.get(i, ())} for at, ids in hits}
-        for at, p, j in doubtful:
-            kind, words, _ = self.phrases[p]
-            low, high = self._sentence(tokens, at)
-            if len(words) == 2 and not any((p, 1 - j) in sure_roles.get(x, ()) for x in (range(at + 1, min(high, at + 4)) if j == 0 else range(max(low, at - 3), at))):
-                continue
-            score = 1.3 - 0.6 * any(tokens[x] in _QUOTE for x in range(max(low, at - 5), min(high, at + 5)))
-            score -= 0.3 * min(3, sum(1 for x, ids in hits if low <= x < high and any(i in self.is_reported for i, _ in ids)))
-            best[kind] = max(best[kind], score)
-
     def _score_terms(self, tokens: list[str], hits: list[tuple[int, tuple[tuple[int, bool], ...]]], best: dict[str, float]) -> None:
         """Single terms: an insult beside 'you' or with its adjective counts when nobody quotes or reports it."""
         if not any(i in self.is_insult for _, ids in hits for i, _ in ids):
@@ -559,12 +547,13 @@ class Scorer:
 _SCORERS: dict[tuple, Scorer] = {}
 
 
-def _score_partition(terms: tuple[tuple[str, str], ...]):
+def _score_partition(terms: tuple[tuple[str, str], ...], model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if terms not in _SCORERS:
+        key = (terms, model)
+        if key not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[terms] = Scorer(list(terms))
-        scorer = _SCORERS[terms]
+            _SCORERS[key] = Scorer(list(terms), pickle.loads(model))
+        scorer = _SCORERS[key]
         for b in batches:
             done = [scorer.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
             kept = [b.column(c) for c in range(b.num_columns - 1)]
@@ -573,23 +562,70 @@ def _score_partition(terms: tuple[tuple[str, str], ...]):
     return run
 
 
-def score_texts(df: DataFrame, id_cols: list[str], text_col: str = "text", terms: DataFrame | None = None, max_terms: int = 10_000) -> DataFrame:
+def _extra_terms(terms: DataFrame | None, max_terms: int) -> list[tuple[str, str]]:
+    if terms is None:
+        return []
+    extra = sorted((r.term, r.category or "") for r in terms.where(F.col("term").isNotNull()).select("term", "category").limit(max_terms + 1).collect())
+    if len(extra) > max_terms:
+        raise ValueError(f"more than {max_terms} terms")
+    return extra
+
+
+def _read_clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, doc, condemned, text) as one row for each clause of each document."""
+    for b in batches:
+        out: list[tuple[list[str], int, int, bool]] = []
+        for g, d, bad, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+            out.extend((list(c), g, d, bad) for c in clauses(text))
+        c, g, d, bad = zip(*out) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.string())), pa.array(g, pa.int64()), pa.array(d, pa.int64()), pa.array(bad, pa.bool_())], ["clause", "grp", "doc", "bad"])
+
+
+def _fit_partition(extra: list[tuple[str, str]], n_condemned: int, n_clean: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((tuple(c), sorted((x["grp"], x["doc"]) for x in docs), n) for b in batches for c, docs, n in zip(*(b.column(i).to_pylist() for i in range(3))))
+        model = fit_wording(rows, n_condemned, n_clean, categories_of(extra), near_words)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return run
+
+
+def learn_wording(docs: DataFrame, judgements: DataFrame, id_col: str = "doc_id", verdict_col: str = "toxic", text_col: str = "text", group_col: str | None = None, terms: DataFrame | None = None, max_condemned: int = MAX_CONDEMNED, max_clean: int = MAX_CLEAN, max_terms: int = 10_000) -> Wording:
+    """A model of abusive wordings from readers' judgements (id, verdict 1 or 0) of whole documents; runs at once.
+
+    A document is condemned, or clean, when more than half of its verdicts are 1,
+    or 0; ties and nulls say nothing. The sample is bounded: at most ``max_condemned``
+    and ``max_clean`` documents, the first by a hash of the id. ``group_col`` names
+    what documents share topics by, such as their page. Without condemned
+    documents the model is empty. Ids are whole numbers.
+    """
+    extra = _extra_terms(terms, max_terms)
+    share = judgements.where(F.col(verdict_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.avg(F.col(verdict_col).cast("double")).alias("m"))
+    pick = lambda side, most, bad: share.where(side).orderBy(F.xxhash64("doc"), "doc").limit(most).select("doc", F.lit(bad).alias("bad"))
+    chosen = pick(F.col("m") > 0.5, max_condemned, True).unionByName(pick(F.col("m") < 0.5, max_clean, False))
+    group = F.coalesce(F.col(group_col), F.col(id_col)) if group_col else F.col(id_col)
+    judged = docs.select(group.cast("long").alias("grp"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc").select("grp", F.col("doc").cast("long").alias("doc"), "bad", "text")
+    read = Cut(judged.mapInArrow(_read_clauses, "clause array<string>, grp long, doc long, bad boolean"), "clauses")
+    sizes = {r.bad: r.n for r in read.df.groupBy("bad").agg(F.count_distinct("doc").alias("n")).collect()}
+    met = read.df.groupBy("clause").agg(F.collect_list(F.when(F.col("bad"), F.struct("grp", "doc"))).alias("docs"), F.sum(F.when(F.col("bad"), 0).otherwise(1)).alias("n"))
+    fitted = met.coalesce(1).mapInArrow(_fit_partition(extra, sizes.get(True, 0), sizes.get(False, 0)), "model binary").collect()
+    read.drop()
+    return pickle.loads(fitted[0].model) if fitted else Wording()
+
+
+def score_texts(df: DataFrame, id_cols: list[str], text_col: str = "text", terms: DataFrame | None = None, wording: Wording | None = None, max_terms: int = 10_000) -> DataFrame:
     """(id columns, score, category) of every row; a null or empty text has score 0 and category ''.
 
     ``terms`` (term, category) adds to the lexicon; more than ``max_terms`` are
-    an error, since the lexicon goes to every task. One pass, no shuffle; whole
-    texts are read, markup and comments included. From ``FLAG_FROM`` on a
+    an error, since the lexicon goes to every task. ``wording`` adds words and
+    weights of their context learned from judgements. One pass, no shuffle;
+    whole texts are read, markup and comments included. From ``FLAG_FROM`` on a
     document counts as a case.
     """
-    extra: list[tuple[str, str]] = []
-    if terms is not None:
-        extra = sorted((r.term, r.category or "") for r in terms.where(F.col("term").isNotNull()).select("term", "category").limit(max_terms + 1).collect())
-        if len(extra) > max_terms:
-            raise ValueError(f"more than {max_terms} terms")
     rows = df.select(*id_cols, text_col)
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", score double, category string"
-    return rows.mapInArrow(_score_partition(tuple(extra)), schema)
+    return rows.mapInArrow(_score_partition(tuple(_extra_terms(terms, max_terms)), pickle.dumps(wording or Wording())), schema)
 
 
 def rates(scored: DataFrame, by: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.abuse import FLAG_FROM, rates, score_texts
+from weftline.llm.abuse import FLAG_FROM, learn_wording, rates, score_texts
 from weftline.llm.borda import borda_ranking, head_on_all
 from weftline.llm.clusters import describe_clusters, grid_clusters, log_feature
 from weftline.llm.encoding import count_tokens, encode_texts
@@ -102,7 +102,9 @@ def p9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"), ["doc_id", "source"], terms=table(spark, sf_dir, "flag_terms"))
+    documents, terms = table(spark, sf_dir, "documents"), table(spark, sf_dir, "flag_terms")
+    wording = learn_wording(documents, table(spark, sf_dir, "labels"), group_col="page_id", terms=terms)
+    return score_texts(documents, ["doc_id", "source"], terms=terms, wording=wording)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
