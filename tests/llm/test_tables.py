@@ -99,9 +99,12 @@ def brute_sequences(rows, length):
     return out
 
 
-@pytest.mark.parametrize("share", [0.001, 0.2])
-def test_sequences(spark, monkeypatch, share):
-    monkeypatch.setattr(sequences, "HEAVY_SHARE", share)
+@pytest.mark.parametrize(("heavy_rows", "broadcast", "portion"), [(20_000, 50_000, 200_000), (8, 50_000, 3), (8, 0, 200_000)])
+def test_sequences(spark, monkeypatch, heavy_rows, broadcast, portion):
+    """Heavy sets thinned or not, codes and heavy sets too many to broadcast, candidates in portions: the same result."""
+    monkeypatch.setattr(sequences, "HEAVY_ROWS", heavy_rows)
+    monkeypatch.setattr(sequences, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(sequences, "MOST_CANDIDATES", portion)
     df, rows = sets_frame(spark, 3)
     n = len({s for s, x, _ in rows if s is not None and x is not None})
     least = max(3, math.ceil(0.05 * n))
@@ -116,6 +119,27 @@ def test_equal_times_have_no_order(spark):
     assert {tuple(r)[:2] for r in sequences.frequent_subsequences(df, length=2).collect()} == {("a", "c"), ("b", "c")}
 
 
+def test_walked_sequences_count_as_the_diagram_does():
+    random.seed(3)
+    for _ in range(40):
+        seqs = collections.Counter(tuple(2 * random.randrange(4) + (random.random() < 0.2) for _ in range(random.randint(2, 9))) for _ in range(8))
+        seqs = {(*s[:-1], s[-1] & ~1): n for s, n in seqs.items()}
+        for distinct in (True, False):
+            for prefixes in (None, {(0, 1): {2, 3}, (1, 2): {0}, (3, 0): {1, 2}}):
+                walked = collections.defaultdict(int)
+                for s, n in seqs.items():
+                    sequences.walk_supports(s, n, prefixes and sequences.prefix_tree(prefixes), distinct, walked)
+                assert walked == sequences.local_supports(dict(seqs), prefixes, distinct)
+
+
+def test_long_sequences(spark, monkeypatch):
+    """One set of thousands of rows, and patterns of four steps."""
+    rows = [("long", f"n{i % 50}", i) for i in range(3000)] + [("short", x, i) for i, x in enumerate(["n1", "n2", "n3", "n4", "n1"])]
+    df = spark.createDataFrame(rows, "set_id string, node_id string, sort_column int")
+    found = {tuple(r)[:4]: r.n_sets for r in sequences.frequent_subsequences(df, min_count=2, length=4).collect()}
+    assert found == {("n1", "n2", "n3", "n4"): 2, ("n2", "n3", "n4", "n1"): 2}
+
+
 def test_thinned_ranges_keep_all_patterns():
     random.seed(9)
     for _ in range(60):

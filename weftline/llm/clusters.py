@@ -18,11 +18,14 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.skew import skew_join
 from weftline.plans.shared import Cut
 
 #: Stands for the logarithm of zero: alike only to itself.
 LOG_OF_ZERO = -1000.0
+#: Halvings after which doubles can't be told apart; pairs still undecided are an error.
 MAX_HALVINGS = 60
+HOT_SHARE = 0.001
 
 
 def log_feature(x: Column, most: float | None = None) -> Column:
@@ -73,7 +76,6 @@ def _decide(points: DataFrame, unsure: DataFrame, d: int, width: float) -> DataF
     """The pairs of ``unsure`` (a, b) of which records are alike, by halving cells until boxes decide."""
     spark = points.sparkSession
     linked = spark.createDataFrame([], unsure.schema)
-    cuts: list[Cut] = []
     open_pairs = unsure.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(None).cast("string").alias("kx"), F.lit(None).cast("string").alias("ky"))
     key = F.lit("")
     may, sure = _verdict(d, width)
@@ -87,12 +89,11 @@ def _decide(points: DataFrame, unsure: DataFrame, d: int, width: float) -> DataF
         on_left = (F.col("p.a") == F.col("l.cell")) & (F.col("p.kx").isNull() | (F.col("p.kx") == F.col("l.parent")))
         on_right = (F.col("p.b") == F.col("r.cell")) & (F.col("p.ky").isNull() | (F.col("p.ky") == F.col("r.parent")))
         tested = Cut(open_pairs.alias("p").join(left, on_left).join(right, on_right).where(may).select("a", "b", F.col("l.key").alias("kx"), F.col("r.key").alias("ky"), sure.alias("sure")), "halved")
-        cuts.append(tested)
         linked = linked.union(tested.df.where("sure").select("a", "b").distinct())
         open_pairs = tested.df.where(~F.col("sure")).join(tested.df.where("sure").select("a", "b").distinct(), ["a", "b"], "left_anti")
         if open_pairs.isEmpty():
-            break
-    return linked.distinct()
+            return linked.distinct()
+    raise RuntimeError(f"boxes of cells halved {MAX_HALVINGS} times still leave pairs undecided")
 
 
 def min_labels(edges: DataFrame) -> DataFrame:
@@ -131,7 +132,9 @@ def grid_clusters(df: DataFrame, id_col: str, features: dict[str, Column], width
     keys = [f"c{i}" for i in range(d)]
     cells = Cut(_boxes(points, keys, d).where(F.col("n") >= min_cell), "cells").df
     met = Cut(neighbour_cells(cells, d, width), "met").df
-    placed = points.join(cells.select(*keys, "cell", F.col("n").alias("cell_size")), keys).drop(*keys)
+    # cells with more than HOT_SHARE of the records, at most 1 / HOT_SHARE, are joined by broadcast
+    hot = cells.where(F.col("n") > HOT_SHARE * (cells.agg(F.sum("n")).first()[0] or 0)).select(*keys)
+    placed = skew_join(points, cells.select(*keys, "cell", F.col("n").alias("cell_size")), keys, hot).drop(*keys)
     unsure = met.where(~F.col("sure")).select("a", "b")
     edges = met.where("sure").select("a", "b")
     if not unsure.isEmpty():

@@ -40,6 +40,10 @@ def buckets_of(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return (_mix(hashes, row) % np.uint64(width)).astype(np.int64)
 
 
+#: Buckets of a hash row that a sketch has at most.
+MOST_BUCKETS = 1 << 16
+
+
 class GroupTestSketch:
     """counts[row, bucket, 0] is the total, counts[row, bucket, 1 + i] that of bit i."""
 
@@ -118,7 +122,8 @@ def frequent_items(df: DataFrame, item_col: str, share: float = 0.005, depth: in
 
     Every row counts, repeated rows too. Memory is that of the sketch, however
     many distinct items there are; ``width`` (about 2.5 / share is enough for most
-    data) is doubled only when a round leaves something undecided. Counts are exact. A null item is no item. Empty input gives no rows.
+    data) is doubled only when a round leaves something undecided, up to
+    ``MOST_BUCKETS`` (about 100 MB); beyond it there is an error, never a short result. Counts are exact. A null item is no item. Empty input gives no rows.
     """
     spark = df.sparkSession
     column = df.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"))
@@ -143,6 +148,8 @@ def frequent_items(df: DataFrame, item_col: str, share: float = 0.005, depth: in
         if total == 0 or rest.complete(least):
             break
         width *= 2
+        if width > MOST_BUCKETS:
+            raise RuntimeError(f"a sketch of {MOST_BUCKETS} buckets a hash row leaves items undecided: raise the share")
     rows = [(x, n, n / total) for x, _, n in exact if n >= least]
     return spark.createDataFrame(rows, "item string, n_rows long, share_of_rows double")
 

@@ -1,8 +1,9 @@
 """Filling containers of fixed capacity with documents: sum-of-squares packing.
 
 An item goes to the fill level that leaves the least sum of squared numbers of
-open containers by level; the numbers are kept in an array by level. Documents
-are packed in groups of bounded size, one task each; the containers that a
+open containers by level; the numbers are kept in an array by level. The method
+is an online one; here a group's documents are all known, so they come largest
+first, which leaves less room unused. Documents are packed in groups of bounded size, one task each; the containers that a
 group leaves open are then items themselves and are packed with those of the
 other groups. A document longer than a container fills whole containers, and
 only its rest is an item.
@@ -118,3 +119,18 @@ def packing_summary(packed: DataFrame, containers: DataFrame) -> DataFrame:
     out = by_kind.join(documents, "container_kind").join(F.broadcast(containers.select("container_kind", "capacity_tokens")), "container_kind")
     full = F.col("n_tokens") / F.col("capacity_tokens")
     return out.select("container_kind", "n_containers", "n_documents", "n_tokens", F.ceil(full).alias("least_possible"), F.round(full / F.col("n_containers"), 6).alias("fill"))
+
+
+def check_packing(packed: DataFrame, sizes: DataFrame, containers: DataFrame) -> DataFrame:
+    """(container_kind, n_documents, n_repeated, n_overfull, n_split_without_need, n_tokens_lost) of a packing: documents placed, pieces placed more than once, containers over their capacity, documents split that fit, and tokens of documents that no container has."""
+    kinds = F.broadcast(containers.where(F.col("capacity_tokens") > 0).select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")))
+    bins = packed.groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n")).join(kinds, "container_kind")
+    overfull = bins.groupBy("container_kind").agg(F.sum(F.when(F.col("n") > F.col("capacity"), 1).otherwise(0)).alias("n_overfull"), F.sum("n").alias("placed"))
+    pieces = packed.groupBy("container_kind", "doc_id", "piece").agg(F.count(F.lit(1)).alias("times"))
+    docs = pieces.groupBy("container_kind", "doc_id").agg(F.sum(F.col("times") - 1).alias("more"), F.count(F.lit(1)).alias("pieces"))
+    docs = docs.join(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("tokens")), "doc_id").join(kinds, "container_kind")
+    by_kind = docs.groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum("more").alias("n_repeated"), F.sum(F.when((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity")), 1).otherwise(0)).alias("n_split_without_need"), F.sum("tokens").alias("tokens")
+    )
+    out = by_kind.join(F.broadcast(overfull), "container_kind")
+    return out.select("container_kind", "n_documents", *[F.col(c).cast("long").alias(c) for c in ("n_repeated", "n_overfull", "n_split_without_need")], (F.col("tokens") - F.col("placed")).cast("long").alias("n_tokens_lost"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import lift, pmi
+from weftline.operators.skew import detect_heavy_keys, skew_join
 from weftline.plans.shared import least_count
 
 #: Up to so many candidate nodes are numbered and broadcast (about 2 MB); beyond it, or in baskets larger than it, baskets are cut in blocks.
@@ -65,7 +66,8 @@ def _coded_counts(rows: DataFrame, nodes: list[str]) -> DataFrame:
 
 def _blocked_counts(rows: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
     """The same for any number of nodes: a basket of more than ``block`` items is cut by hash in blocks, and each pair of blocks is its own group."""
-    items = rows.join(nodes, "node").distinct()
+    single = rows.distinct()
+    items = skew_join(single, nodes, ["node"], detect_heavy_keys(single, ["node"]).table(rows.sparkSession).select(F.col("key_value").alias("node")))
     blocks = items.groupBy("s").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(block)).cast("int").alias("k"))
     placed = items.join(blocks, "s").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     spread = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("s", F.least("own", "j").alias("i"), F.greatest("own", "j").alias("j"), (F.col("own") <= F.col("j")).alias("is_i"), "own", "node")

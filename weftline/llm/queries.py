@@ -12,7 +12,7 @@ from weftline.llm.borda import borda_ranking, head_on_all
 from weftline.llm.clusters import describe_clusters, grid_clusters, log_feature
 from weftline.llm.encoding import count_tokens, encode_texts
 from weftline.llm.heavy_items import frequent_items
-from weftline.llm.packing import pack_documents, packing_summary
+from weftline.llm.packing import check_packing, pack_documents, packing_summary
 from weftline.llm.pairs import co_occurring_pairs
 from weftline.llm.sequences import frequent_subsequences
 from weftline.llm.top_n import top_per_group
@@ -101,6 +101,13 @@ def p9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_summary(cut(p9_packing(spark, sf_dir), "packing"), table(spark, sf_dir, "containers"))
 
 
+def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any packing: every document is placed once, no container is overfull, none is split without need, no token is lost."""
+    sizes = cut(count_tokens(table(spark, sf_dir, "documents")), "sizes")
+    containers = table(spark, sf_dir, "containers")
+    return check_packing(cut(pack_documents(sizes, containers), "packing"), sizes, containers)
+
+
 def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, terms = table(spark, sf_dir, "documents"), table(spark, sf_dir, "flag_terms")
     wording = learn_wording(documents, table(spark, sf_dir, "labels"), group_col="page_id", terms=terms)
@@ -136,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": p8_ids,
         "p9_packing": p9_packing,
         "p9_summary": p9_summary,
+        "p9_whole": p9_whole,
         "p10_found": p10_found,
         "p10_scores": p10_scores,
         "p10_rates": p10_rates,

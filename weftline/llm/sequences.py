@@ -8,11 +8,17 @@ how many sequences end there. For each prefix item the conditional diagram (what
 follows its first occurrence) is pushed through the graph, and results of equal
 subproblems are looked up, not computed again. Supports of different tasks add
 up, since a set is in one task; a pattern grows only from frequent patterns.
+
+What a task holds is bounded by numbers, not by shares of the data: sets of many
+rows are thinned in time ranges first, a diagram takes sequences up to a weight,
+very long sequences share nothing and are walked one by one, and candidates are
+tried in portions.
 """
 
 from __future__ import annotations
 
 import sys
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,14 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.skew import detect_heavy_keys
+from weftline.operators.skew import detect_heavy_keys, skew_join
 from weftline.plans.instants import micros
+from weftline.plans.ranking import global_positions
 from weftline.plans.shared import Cut, least_count
 
-#: Sequences that one diagram takes at most; a task with more builds several, one after the other.
-DIAGRAM_SEQUENCES = 200_000
-#: A set with more rows than this, but at least the least and at most the largest share of all rows, is thinned out in time ranges first.
-HEAVY_ROWS, LEAST_SHARE, HEAVY_SHARE = 20_000, 1 / 16_384, 0.001
+#: Entries (half the squared lengths of its sequences) that the supports of one diagram may have; a task with more builds several, one after the other.
+DIAGRAM_ENTRIES = 8_000_000
+#: A sequence of more tokens than this is walked on its own.
+LONG_TOKENS = 400
+#: A set with more rows than this is thinned in time ranges first.
+HEAVY_ROWS = 20_000
+#: So many heavy sets, or nodes with codes, are broadcast at most; beyond it every set is thinned, and codes are joined by shuffle.
+MOST_BROADCAST = 50_000
+#: Candidates (a pattern and the item to follow it) that go to the tasks at once.
+MOST_CANDIDATES = 200_000
 
 
 class Diagram:
@@ -145,6 +158,42 @@ class Diagram:
         return out
 
 
+def walk_supports(seq: tuple[int, ...], weight: int, tree: dict | None, distinct: bool, out: dict[tuple[int, ...], int]) -> None:
+    """Adds what one sequence supports, as ``local_supports`` counts it, by leftmost matches; holds its events once."""
+    places: dict[int, list[int]] = defaultdict(list)
+    element = 0
+    for tok in seq:
+        places[tok >> 1].append(element)
+        element += not tok & 1
+    if tree is None:
+        for a, at in places.items():
+            for b, other in places.items():
+                if other[-1] > at[0] and not (distinct and a == b):
+                    out[a, b] += weight
+        return
+    stack = [(-1, tree, ())]
+    while stack:
+        end, at, prefix = stack.pop()
+        for x, deeper in at.items():
+            if x is None:
+                for y in deeper:
+                    if y in places and places[y][-1] > end:
+                        out[(*prefix, y)] += weight
+            elif x in places and places[x][-1] > end:
+                stack.append((places[x][bisect_right(places[x], end)], deeper, (*prefix, x)))
+
+
+def prefix_tree(prefixes: dict[tuple[int, ...], set[int]]) -> dict:
+    """Prefixes by their items, one level an item; at None the items to try."""
+    tree: dict = {}
+    for prefix, items in prefixes.items():
+        at = tree
+        for x in prefix:
+            at = at.setdefault(x, {})
+        at[None] = items
+    return tree
+
+
 def local_supports(sequences: dict[tuple[int, ...], int], prefixes: dict[tuple[int, ...], set[int]] | None, distinct: bool) -> dict[tuple[int, ...], int]:
     """Supports, within these sequences, of patterns one longer than the prefixes.
 
@@ -162,12 +211,7 @@ def local_supports(sequences: dict[tuple[int, ...], int], prefixes: dict[tuple[i
                     if not (distinct and a == b):
                         out[a, b] += n * times
         return out
-    tree: dict = {}
-    for prefix, items in prefixes.items():
-        at = tree
-        for x in prefix:
-            at = at.setdefault(x, {})
-        at[None] = items
+    tree = prefix_tree(prefixes)
 
     def push(nodes: dict[int, int], at: dict, prefix: tuple[int, ...]) -> None:
         deeper: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
@@ -208,21 +252,32 @@ def _mine_partition(prefixes: dict[tuple[int, ...], set[int]] | None, distinct:
                 open_tie = False
         return tuple(out)
 
-    def flush(sequences: dict[tuple[int, ...], int]) -> pa.RecordBatch:
-        found = local_supports(sequences, prefixes, distinct)
+    tree = None if prefixes is None else prefix_tree(prefixes)
+
+    def batch(found: dict[tuple[int, ...], int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.list_(pa.int32())), pa.array(list(found.values()), pa.int64())], ["pattern", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences: dict[tuple[int, ...], int] = defaultdict(int)
+        long: dict[tuple[int, ...], int] = defaultdict(int)
+        entries = 0
         for b in batches:
             for seq, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if len(seq := thin(seq)) > 1:
+                if len(seq := thin(seq)) > LONG_TOKENS:
+                    walk_supports(seq, n, tree, distinct, long)
+                elif len(seq) > 1:
+                    entries += 0 if seq in sequences else len(seq) ** 2 // 2
                     sequences[seq] += n
-            if len(sequences) >= DIAGRAM_SEQUENCES:
-                yield flush(sequences)
-                sequences = defaultdict(int)
+                    if entries >= DIAGRAM_ENTRIES:
+                        yield batch(local_supports(sequences, prefixes, distinct))
+                        sequences, entries = defaultdict(int), 0
+            if len(long) >= MOST_CANDIDATES:
+                yield batch(long)
+                long = defaultdict(int)
         if sequences:
-            yield flush(sequences)
+            yield batch(local_supports(sequences, prefixes, distinct))
+        if long:
+            yield batch(long)
 
     return run
 
@@ -296,8 +351,47 @@ def _rows(rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(t, pa.int64()), pa.array(x, pa.int32())], ["s", "t", "code"])
 
 
+def _coded(timed: DataFrame, least: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(events (s, t, code), codes (node, code), whether codes are few) of the nodes with ``least`` rows or more, numbered in byte order."""
+    frequent = timed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("node")
+    codes = Cut(global_positions(frequent, [F.col("node")], "code").select("node", (F.col("code") - 1).cast("int").alias("code")), "codes").df
+    few = codes.count() <= MOST_BROADCAST
+    if few:
+        events = timed.join(F.broadcast(codes), "node")
+    else:
+        hot = detect_heavy_keys(timed, ["node"]).table(timed.sparkSession).select(F.col("key_value").alias("node"))
+        events = skew_join(timed, codes, ["node"], hot)
+    return events.select("s", micros(timed, "t").alias("t"), "code"), codes, few
+
+
+def _thinned(events: DataFrame, length: int) -> DataFrame:
+    """Events of which sets with more than ``HEAVY_ROWS`` rows keep only what patterns need."""
+    hot = events.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY_ROWS).select("s")
+    found = hot.limit(MOST_BROADCAST + 1).collect()
+    thin = lambda rows: rows.repartitionByRange("s", "t").sortWithinPartitions("s", "t").mapInArrow(_thin_partition(length), "s string, t long, code int")
+    if not found:
+        return events
+    if len(found) > MOST_BROADCAST:
+        return thin(events)
+    hot = events.sparkSession.createDataFrame(found, hot.schema)
+    return events.join(F.broadcast(hot), "s", "left_anti").unionByName(thin(events.join(F.broadcast(hot), "s", "left_semi")))
+
+
+def _candidates(mined: DataFrame, k: int, distinct: bool) -> DataFrame:
+    """(pattern, item) of patterns of ``k`` items and items that may follow them: every part of ``k`` items of the longer pattern is frequent."""
+    left = mined.select("pattern", F.slice("pattern", 1, k - 1).alias("head"))
+    right = mined.select(F.slice("pattern", 1, k - 1).alias("head"), F.col("pattern")[k - 1].alias("item"))
+    met = left.join(right, "head").drop("head")
+    if distinct:
+        met = met.where(~F.array_contains("pattern", F.col("item")))
+    for i in range(k - 1):
+        rest = F.concat(*([F.slice("pattern", 1, i)] if i else []), F.slice("pattern", i + 2, k - 1 - i), F.array("item"))
+        met = met.withColumn("rest", rest).join(mined.select(F.col("pattern").alias("rest")), "rest", "left_semi").drop("rest")
+    return met
+
+
 def frequent_subsequences(
-    df: DataFrame, set_col: str = "set_id", node_col: str = "node_id", time_col: str = "sort_column", min_count: int = 1, min_share: float = 0.0, length: int = 3, distinct: bool = True, max_items: int = 20_000
+    df: DataFrame, set_col: str = "set_id", node_col: str = "node_id", time_col: str = "sort_column", min_count: int = 1, min_share: float = 0.0, length: int = 3, distinct: bool = True
 ) -> DataFrame:
     """(step_1 .. step_length, n_sets): patterns of ``length`` items that enough sets run through in order, others between allowed.
 
@@ -306,49 +400,45 @@ def frequent_subsequences(
     the sets that have a row with set and node not null. ``distinct`` asks for
     different items. Rows without set, node or time take no part; repeated rows
     change nothing; rows of equal time have no order. Empty input: no rows.
+    Jobs for all lengths but the last run while the plan is built; nothing but
+    counts and portions of ``MOST_CANDIDATES`` candidates reaches the driver.
     """
+    if length < 2:
+        raise ValueError("length must be at least 2")
     spark = df.sparkSession
     there = df.where(F.col(set_col).isNotNull() & F.col(node_col).isNotNull())
     n_sets = there.select(set_col).distinct().count()
     least = max(min_count, least_count(n_sets, min_share), 1)
-    steps = ", ".join(f"step_{i + 1} string" for i in range(length))
     timed = there.where(F.col(time_col).isNotNull()).select(F.col(set_col).cast("string").alias("s"), F.col(node_col).cast("string").alias("node"), F.col(time_col).alias("t"))
-    found = timed.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).limit(max_items + 1).collect()
-    if len(found) > max_items:
-        raise ValueError(f"more than {max_items} nodes have {least} rows or more: raise min_count or min_share")
-    nodes = sorted((r.node for r in found), key=lambda x: x.encode())
-    codes = spark.createDataFrame([(n, i) for i, n in enumerate(nodes)], "node string, code int")
-    events = timed.join(F.broadcast(codes), "node").select("s", micros(timed, "t").alias("t"), "code")
-    share = min(HEAVY_SHARE, max(HEAVY_ROWS / max(1, sum(r.n for r in found)), LEAST_SHARE))
-    heavy = detect_heavy_keys(events, ["s"], share)
-    hot_sets = F.broadcast(heavy.table(spark).select(F.col("key_value").alias("s")))
-    if heavy.keys["s"]:
-        hot = events.join(hot_sets, "s", "left_semi").repartitionByRange("s", "t").sortWithinPartitions("s", "t").mapInArrow(_thin_partition(length), "s string, t long, code int")
-        events = events.join(hot_sets, "s", "left_anti").unionByName(hot)
-    series = events.groupBy("s").agg(F.array_sort(F.collect_set(F.struct("t", "code"))).alias("e"))
+    events, codes, few = _coded(timed, least)
+    series = _thinned(events, length).groupBy("s").agg(F.array_sort(F.collect_set(F.struct("t", "code"))).alias("e"))
     token = lambda x, i: x["code"] * 2 + F.when(F.try_element_at("e", i + 2)["t"] == x["t"], 1).otherwise(0)
     sequences = Cut(series.where(F.size("e") >= length).select(F.transform("e", token).alias("seq")).groupBy("seq").agg(F.count(F.lit(1)).alias("n")), "sequences")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     spread = sequences.df.repartition(tasks)
-    prefixes, patterns = None, {}
-    for k in range(2, length + 1):
-        mined = spread.mapInArrow(_mine_partition(prefixes, distinct), "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        patterns = {tuple(r.pattern): r.n for r in mined.collect()} if k < length else {}
-        if k == length:
-            named = mined
-            for i in range(length):
-                named = named.withColumn(f"_c{i}", F.col("pattern")[i]).join(F.broadcast(codes.select(F.col("node").alias(f"step_{i + 1}"), F.col("code").alias(f"_c{i}"))), f"_c{i}")
-            return named.select(*[f"step_{i + 1}" for i in range(length)], F.col("n").alias("n_sets"))
-        follows = defaultdict(set)
-        for p in patterns:
-            follows[p[:-1]].add(p[-1])
-        prefixes = {p: {x for x in follows[p[:-1]] if all(x in follows[q] for q in _shorter(p)) and not (distinct and x in p)} for p in patterns}
-        prefixes = {p: xs for p, xs in prefixes.items() if xs}
-        if not prefixes:
-            return spark.createDataFrame([], f"{steps}, n_sets long")
-    raise ValueError("length must be at least 2")
-
-
-def _shorter(p: tuple[int, ...]) -> list[tuple[int, ...]]:
-    """The prefixes, one shorter than ``p``, that must also be followed by whatever may follow ``p``."""
-    return [p[:i] + p[i + 1 :] for i in range(len(p))]
+
+    def count(portions: list[dict[tuple[int, ...], set[int]] | None]) -> DataFrame:
+        found = [spread.mapInArrow(_mine_partition(p, distinct), "pattern array<int>, n long") for p in portions]
+        whole = found[0]
+        for part in found[1:]:
+            whole = whole.unionByName(part)
+        return whole.groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+    mined = count([None])
+    for k in range(2, length):
+        before = Cut(mined, "patterns")
+        tried = Cut(_candidates(before.df.select("pattern"), k, distinct), "candidates")
+        portions = []
+        n_portions = -(-tried.df.count() // MOST_CANDIDATES)
+        for i in range(n_portions):
+            follows: dict[tuple[int, ...], set[int]] = defaultdict(set)
+            for r in tried.df.where(F.pmod(F.xxhash64("pattern", "item"), F.lit(n_portions)) == i).toLocalIterator():
+                follows[tuple(r.pattern)].add(r.item)
+            portions.append(dict(follows))
+        mined = count(portions or [{}])
+        before.drop()
+        tried.drop()
+    hint = F.broadcast if few else (lambda x: x)
+    for i in range(length):
+        mined = mined.withColumn(f"_c{i}", F.col("pattern")[i]).join(hint(codes.select(F.col("node").alias(f"step_{i + 1}"), F.col("code").alias(f"_c{i}"))), f"_c{i}")
+    return mined.select(*[f"step_{i + 1}" for i in range(length)], F.col("n").alias("n_sets"))
