@@ -336,7 +336,9 @@ class Scorer:
         index = lambda words: {self.trie.exact[fold(w)] for w in words}
         self.is_anchor = index(self.anchors)
         self.is_insult, self.is_adjective, self.is_aimed, self.is_reported = index(self.insults), index(ADJECTIVES), index(AIMED), index(REPORTED)
-        self.is_cue = index(learned)
+        anchors = self.wording.anchors
+        self.is_cue = index(w for w in anchors if not w.startswith("#")) | {self.trie.exact[w] for w, kinds in self.categories.items() if not anchors.isdisjoint(kinds)}
+        self.cue_letters = {w for w in anchors if len(w) == 1 and NO_SPACES.search(w)}
         self.reported = {fold(w) for w in REPORTED}
         self.ordinary = ORDINARY.union(self.wording.ordinary).difference(self.trie.exact)
         #: English "die" is also the commonest German word; one of these stands beside every threat with it.
@@ -388,9 +390,9 @@ class Scorer:
         ordinary = self.ordinary
         places = [(at, ids) for at, ids in hits if tokens[at] not in ordinary]
         read = {at for at, ids in places if any(i in self.is_anchor for i, _ in ids) and (tokens[at] != "die" or not self.with_die.isdisjoint(tokens))}
-        cued = {at for at, ids in places if any(i in self.is_cue for i, _ in ids)} if self.wording.cues else set()
-        # letters of scripts without spaces are cues of their own
-        cued |= {at for at, t in enumerate(tokens) if not t.isascii() and NO_SPACES.search(t)} if self.wording.cues else set()
+        cued = {at for at, ids in places if any(i in self.is_cue for i, _ in ids)}
+        if self.cue_letters:
+            cued |= {at for at, t in enumerate(tokens) if not t.isascii() and not self.cue_letters.isdisjoint(t)}
         if not read and not cued:
             return
         words = list(map(spell_out, tokens))

@@ -94,10 +94,11 @@ def features(words: Iterable[str], categories: dict[str, tuple[str, ...]]) -> se
 
 @dataclass
 class Wording:
-    """A fitted model: log-odds that a clause is abusive; one without a cue has none. ``ordinary`` are words that clean documents hold again and again."""
+    """A fitted model: log-odds that a clause is abusive; one without a cue has none. ``anchors`` has of each cue the word, or category, that clean documents hold least. ``ordinary`` are words that clean documents hold again and again."""
 
     weights: dict[Feature, float] = field(default_factory=dict)
     cues: frozenset[Feature] = frozenset()
+    anchors: frozenset[str] = frozenset()
     bias: float = 0.0
     ordinary: frozenset[str] = frozenset()
     n_condemned: int = 0
@@ -228,4 +229,9 @@ def fit_wording(clauses: Iterable[tuple[tuple[str, ...], list[tuple[int, int]],
             return Wording(n_condemned=n_condemned)
     w, b = model(None)
     weights = {f: round(float(x), 4) for f, x in zip(use, w) if abs(x) > 0.02}
-    return Wording(weights, frozenset(f for f in cue_set if weights.get(f, 0.0) > 0), round(float(b), 4), frozenset(x for x, n in known.items() if n > common), n_condemned)
+    for w, kinds in categories.items():
+        for kind in kinds:
+            known[kind] += known[w]
+    speaking = frozenset(f for f in cue_set if weights.get(f, 0.0) > 0)
+    anchors = frozenset(min(f, key=lambda w: (known[w], w)) if isinstance(f, tuple) else f for f in speaking)
+    return Wording(weights, speaking, anchors, round(float(b), 4), frozenset(x for x, n in known.items() if n > common), n_condemned)
