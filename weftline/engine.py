@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +14,44 @@ from weftline.operators.graph import GraphModel
 from weftline.plans.shared import cut
 from weftline.sources import interactions as source
 from weftline.sources.session import session
+from weftline.sources.store import Store
 
 
 class Engine:
     """Interactions in a caller's session, and the models fitted to them. Results are lazy frames."""
 
-    def __init__(self, spark: SparkSession | None = None, view: str = "interactions"):
+    def __init__(self, spark: SparkSession | None = None, view: str = "interactions", path: str | None = None):
         self.spark = spark or SparkSession.builder.getOrCreate()
         self.view = view
-        self.interactions: DataFrame | None = None
+        self.store = Store(self.spark, path) if path else None
+        self.tables: dict[str, DataFrame] = {}
         self._rules: DataFrame | None = None
         self._similarity: recommend.ItemSimilarity | None = None
         self._graph: GraphModel | None = None
         self._popularity: DataFrame | None = None
+        if self.store:
+            self._restore()
+
+    @property
+    def interactions(self) -> DataFrame | None:
+        return self.tables.get(self.view)
+
+    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written once: below the engine's folder, where a later engine finds it, else in the shared folder."""
+        return self.store.put(name, df) if self.store else cut(df, name)
+
+    def _restore(self) -> None:
+        """What an earlier engine left below the folder."""
+        if (found := self.store.get(f"tables-{self.view}")) is None:
+            return
+        self.tables[self.view] = found
+        found.createOrReplaceTempView(self.view)
+        self._rules, self._popularity = self.store.get("rules"), self.store.get("popularity")
+        if (similar := self.store.get("similarity")) is not None:
+            self._similarity = recommend.ItemSimilarity(found, stored=similar)
+        edges, totals = self.store.get("edges"), self.store.get("totals")
+        if edges is not None and totals is not None:
+            self._graph = GraphModel(found, stored_edges=edges, stored_totals=totals)
 
     def __enter__(self) -> Engine:
         return self
@@ -37,9 +63,11 @@ class Engine:
         return f"Engine(view={self.view!r}, loaded={self.interactions is not None})"
 
     def close(self) -> None:
-        """Drops the view and the models; the session stays the caller's."""
-        self.spark.catalog.dropTempView(self.view)
-        self.interactions = self._rules = self._similarity = self._graph = self._popularity = None
+        """Drops the views and the models; the session, and what is stored, stay."""
+        for name in self.tables:
+            self.spark.catalog.dropTempView(name)
+        self.tables = {}
+        self._rules = self._similarity = self._graph = self._popularity = None
 
     def sql(self, query: str, args: Any = None) -> DataFrame:
         return self.spark.sql(query, args=args)
@@ -50,8 +78,11 @@ class Engine:
     def register(self, name: str, data: Any) -> None:
         source.read_source(self.spark, data).createOrReplaceTempView(name)
 
-    def load_interactions(self, data: Any, set_col: str, node_col: str, sort_col: str | None = None, sort_callback: Callable | None = None, append: bool = False, facet_cols: list[str] | None = None, facet_mode: str = "composite") -> int:
-        """Rows of the relation after loading. Facets go into the set key ('composite') or become nodes ('entity')."""
+    def load_interactions(self, data: Any, set_col: str, node_col: str, sort_col: str | None = None, sort_callback: Callable | None = None, append: bool = False, facet_cols: list[str] | None = None, facet_mode: str = "composite", table_name: str | None = None) -> int:
+        """Rows of the relation after loading. Facets go into the set key ('composite') or become nodes ('entity').
+
+        Operators work on the engine's own relation; ``table_name`` loads another one, for SQL.
+        """
         df = source.read_source(self.spark, data)
         if facet_cols:
             facets.require_disjoint(set_col=set_col, node_col=node_col, sort_col=sort_col, facet_cols=facet_cols)
@@ -61,7 +92,7 @@ class Engine:
                 df = facets.facet_entities(df, set_col, node_col, facet_cols, extra_cols=[sort_col] if sort_col else None)
             else:
                 raise ValueError(f"Unknown facet_mode: {facet_mode}")
-        return self._set(source.canonical(df, set_col, node_col, sort_col, sort_callback), append)
+        return self._set(source.canonical(df, set_col, node_col, sort_col, sort_callback), append, table_name)
 
     def load_interaction_matrix(self, data: Any, set_col: str = "set_id", append: bool = False) -> int:
         """A wide table with a column of set ids; a pandas frame may have them as its index."""
@@ -69,11 +100,17 @@ class Engine:
             data = data.rename_axis(set_col).reset_index()
         return self._set(source.from_matrix(source.read_source(self.spark, data), set_col), append)
 
-    def _set(self, new: DataFrame, append: bool) -> int:
-        self.interactions = source.append(self.interactions if append else None, new)
-        self.interactions.createOrReplaceTempView(self.view)
-        self._rules = self._similarity = self._graph = self._popularity = None
-        return self.interactions.count()
+    def _set(self, new: DataFrame, append: bool, name: str | None = None) -> int:
+        """Writes the relation once, in ranges of (set, node), so that operators read Parquet pruned by set and no source is parsed again."""
+        name = name or self.view
+        whole = source.append(self.tables.get(name) if append else None, new)
+        self.tables[name] = self._keep(f"tables-{name}", whole.repartitionByRange("set_id", "node_id").sortWithinPartitions("set_id", "node_id"))
+        self.tables[name].createOrReplaceTempView(name)
+        if name == self.view:
+            self._rules = self._similarity = self._graph = self._popularity = None
+            for stored in ("rules", "similarity", "edges", "totals", "popularity") if self.store else ():
+                self.store.drop(stored)
+        return self.tables[name].count()
 
     def save(self, path: str) -> None:
         source.write(self._loaded(), path)
@@ -92,8 +129,8 @@ class Engine:
     def association_rules(self, min_support: float = 0.05, min_confidence: float = 0.1, min_lift: float = 0.0, max_antecedent_len: int | None = None, itemsets: DataFrame | None = None) -> DataFrame:
         """Mined rules, written once, since recommendations and profiles read them again."""
         found = itemsets if itemsets is not None else self.frequent_itemsets(min_support)
-        self._rules = cut(mining.association_rules(found, min_confidence, min_lift, max_antecedent_len), "rules")
-        return self._rules
+        self._rules = self._keep("rules", mining.association_rules(found, min_confidence, min_lift, max_antecedent_len))
+        return mining.by_lift(self._rules)
 
     def sequential_patterns(self, **kw: Any) -> DataFrame:
         return mining.sequential_patterns(self._loaded(), **kw)
@@ -102,7 +139,9 @@ class Engine:
         return components.sink_components(self._loaded(), min_cooccurrence, min_confidence)
 
     def fit_cf(self, metric: str = "jaccard", min_cooccurrence: int = 1, top_k_similar: int = 50) -> Engine:
-        self._similarity = recommend.ItemSimilarity(self._loaded(), metric, min_cooccurrence, top_k_similar)
+        """Works the similarities out and writes them; recommendations read the table."""
+        model = recommend.ItemSimilarity(self._loaded(), metric, min_cooccurrence, top_k_similar)
+        self._similarity = replace(model, stored=self._keep("similarity", model.table))
         return self
 
     def recommend_cf(self, seeds: list[str], n: int = 10, exclude_seed: bool = True) -> DataFrame:
@@ -111,7 +150,9 @@ class Engine:
         return self._similarity.recommend(seeds, n, exclude_seed)
 
     def fit_graph(self, min_cooccurrence: int = 1, alpha: float = 0.0) -> Engine:
-        self._graph = GraphModel(self._loaded(), min_cooccurrence, alpha)
+        """Works edges and totals out and writes them; rankings read the tables."""
+        model = GraphModel(self._loaded(), min_cooccurrence, alpha)
+        self._graph = replace(model, stored_edges=self._keep("edges", model.edges), stored_totals=self._keep("totals", model.totals))
         return self
 
     @property
@@ -130,7 +171,7 @@ class Engine:
         return self.graph.rank_nodes(seeds, steps, scoring, limit)
 
     def fit_popularity(self, strategy: str = "global", timestamp_col: str | None = None, window_days: int = 30) -> Engine:
-        self._popularity = recommend.popularity(self._loaded(), strategy, timestamp_col, window_days)
+        self._popularity = self._keep("popularity", recommend.popularity(self._loaded(), strategy, timestamp_col, window_days))
         return self
 
     def recommend_popular(self, n: int = 10, exclude_items: list[str] | None = None) -> DataFrame:
@@ -219,8 +260,8 @@ def load(data: Any, spark: SparkSession | None = None, **kw: Any) -> Engine:
 
 
 def connect(database: str | None = None, memory_limit: str | None = None, threads: int | None = None) -> Engine:
-    """An engine on the running session, else on a local one; what is stored below ``database`` outlives it."""
-    return Engine(session(threads, memory_limit, database))
+    """An engine on the running session, else on a local one; below the folder ``database`` it keeps what it loads and fits, and finds it again."""
+    return Engine(session(threads, memory_limit), path=None if database == ":memory:" else database)
 
 
 def empty(spark: SparkSession) -> DataFrame:

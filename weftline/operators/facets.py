@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import cooccurrence, node_totals, path_integral, simple_paths
+from weftline.operators.mining import METRICS, rule_measures
+from weftline.sources.interactions import reworked
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
@@ -76,6 +79,10 @@ def split_by_facet(df: DataFrame, set_col: str, node_col: str, facet_cols: str |
     return {x: tagged.where(F.col("slice") == x).select(*keep) for x in labels}
 
 
+def _all_known(names: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+
+
 def _popular(every: DataFrame, seeds: list[str], *_: object) -> DataFrame:
     totals = node_totals(every, ("slice",))
     sums = totals.groupBy("slice").agg(F.sum("total").alias("_n"))
@@ -89,6 +96,16 @@ def _similar(every: DataFrame, seeds: list[str], scoring: str, max_depth: int, m
     return near.groupBy("slice", F.col("target").alias("item")).agg(F.sum(F.col("weight") / (F.col("na") + F.col("nb") - F.col("weight"))).alias("total_strength"))
 
 
+def _ruled(every: DataFrame, seeds: list[str], min_support: float, min_confidence: float, metric: str) -> DataFrame:
+    """Rules of one node to another mined inside each slice; the best from a seed counts."""
+    n = every.groupBy("slice").agg(F.count_distinct("set_id").alias("_n"))
+    kept = node_totals(every, ("slice",)).join(n, "slice").select("slice", "node_id", (F.col("total") / F.col("_n")).alias("s")).where(F.col("s") >= min_support)
+    pairs = cooccurrence(every, ("slice",)).where(F.col("source").isin(seeds) & ~F.col("target").isin(seeds)).join(n, "slice").withColumn("support", F.col("weight") / F.col("_n")).where(F.col("support") >= min_support)
+    met = pairs.join(kept.select("slice", F.col("node_id").alias("source"), F.col("s").alias("s_a")), ["slice", "source"]).join(kept.select("slice", F.col("node_id").alias("target"), F.col("s").alias("s_b")), ["slice", "target"])
+    rules = met.withColumns(rule_measures(F.col("support"), F.col("s_a"), F.col("s_b"))).where(F.col("confidence") >= min_confidence)
+    return rules.groupBy("slice", F.col("target").alias("item")).agg(F.max(metric).alias("total_strength"))
+
+
 def _paths(every: DataFrame, seeds: list[str], scoring: str, max_depth: int, min_cooccurrence: int) -> DataFrame:
     by = ("slice",)
     edges = cooccurrence(every, by, min_cooccurrence)
@@ -101,11 +118,20 @@ def _paths(every: DataFrame, seeds: list[str], scoring: str, max_depth: int, min
     return path_integral(simple_paths(edges.select("slice", "source", "target", "score"), start, max_depth, by), scoring == "path", by).where(~F.col("item").isin(seeds))
 
 
-def recommend_by_facet(df: DataFrame, seeds: list[str], set_col: str, node_col: str, facet_cols: str | list[str], strategy: str = "graph", n: int = 10, scoring: str = "frequency", max_depth: int = 2, min_cooccurrence: int = 1, fallback_merge: str = "union") -> DataFrame:
+def recommend_by_facet(
+    df: DataFrame, seeds: list[str], set_col: str, node_col: str, facet_cols: str | list[str], strategy: str = "graph", n: int = 10, scoring: str = "frequency", max_depth: int = 2, min_cooccurrence: int = 1, fallback_merge: str = "union",
+    extra_cols: list[str] | None = None, sort_col: str | None = None, sort_callback: Callable[[DataFrame], DataFrame] | None = None, min_support: float = 0.05, min_confidence: float = 0.1, metric: str = "lift",
+) -> DataFrame:
     """(slice, recommended_item, total_strength, level): a ranking inside each facet slice, and 'global'.
 
     ``strategy`` is 'graph' (or 'auto'): paths from the seeds; 'cf': Jaccard
-    similarities to the seeds, added; 'popular': shares of the slice's rows.
+    similarities to the seeds, added; 'popular': shares of the slice's rows;
+    'rules': the best ``metric`` of rules from a seed, of ``min_support`` and
+    ``min_confidence`` inside the slice.
+
+    ``sort_callback`` may rework the rows, as it does in loading, where they have
+    the columns set_id, node_id, the facets, ``extra_cols`` and, for ``sort_col``,
+    sort_column; no strategy here reads a time.
 
     All slices run at once: rows are spread to every coarser slice (a subset of
     the facets kept), edges and paths carry the slice. A slice without results
@@ -115,22 +141,28 @@ def recommend_by_facet(df: DataFrame, seeds: list[str], set_col: str, node_col:
     node are left out; a null facet value belongs to the coarser slices alone.
     """
     facets = [facet_cols] if isinstance(facet_cols, str) else facet_cols
-    require_columns(df, [set_col, node_col, *facets])
+    extra = [c for c in dict.fromkeys([*(extra_cols or []), *([sort_col] if sort_col else [])]) if c not in facets]
+    require_columns(df, [set_col, node_col, *facets, *extra])
     if fallback_merge not in ("union", "best", "first"):
         raise ValueError(f"Unknown merge strategy={fallback_merge!r}")
-    if strategy not in ("graph", "auto", "cf", "popular"):
+    if strategy not in ("graph", "auto", "cf", "popular", "rules"):
         raise ValueError(f"Unknown strategy: {strategy}")
-    rows = df.select(F.col(set_col).cast("string").alias("set_id"), F.col(node_col).cast("string").alias("node_id"), *[F.col(c).cast("string").alias(c) for c in facets]).dropna(subset=["set_id", "node_id"])
-    finest = rows.dropna(subset=facets).select("set_id", "node_id", facet_label(facets).alias("slice"))
-    parts = [finest]
+    if strategy == "rules" and metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    rows = df.select(F.col(set_col).cast("string").alias("set_id"), F.col(node_col).cast("string").alias("node_id"), *[F.col(c).cast("string").alias(c) for c in facets], *[F.col(c).alias("sort_column" if c == sort_col else c) for c in extra if c not in (set_col, node_col)])
+    rows = reworked(rows, sort_callback).dropna(subset=["set_id", "node_id"])
+    slices = [F.when(_all_known(facets), facet_label(facets))]
     kept_of: list[tuple[int, int, list[str]]] = []
     for drop in range(1, len(facets) + 1):
         for order, keep in enumerate(combinations(facets, len(facets) - drop)):
             kept_of.append((drop, order, list(keep)))
-            name = facet_label(list(keep)) if keep else F.lit("")
-            parts.append(rows.dropna(subset=list(keep)).select("set_id", "node_id", F.concat(F.lit("~"), name).alias("slice")).distinct() if keep else rows.select("set_id", "node_id", F.lit("~").alias("slice")).distinct())
-    every = reduce(DataFrame.unionByName, parts)
-    found = {"cf": _similar, "popular": _popular}.get(strategy, _paths)(every, seeds, scoring, max_depth, min_cooccurrence)
+            slices.append(F.when(_all_known(list(keep)), F.concat(F.lit("~"), facet_label(list(keep)))) if keep else F.lit("~"))
+    spread = rows.select("set_id", "node_id", F.explode(F.array_compact(F.array(*slices))).alias("slice"))
+    every = spread.where(~F.col("slice").startswith("~")).unionByName(spread.where(F.col("slice").startswith("~")).distinct())
+    if strategy == "rules":
+        found = _ruled(every, seeds, min_support, min_confidence, metric)
+    else:
+        found = {"cf": _similar, "popular": _popular}.get(strategy, _paths)(every, seeds, scoring, max_depth, min_cooccurrence)
     best = Window.partitionBy("slice").orderBy(F.round("total_strength", 9).desc(), "item")
     top = found.select("slice", "item", "total_strength", F.row_number().over(best).alias("k")).where(F.col("k") <= n)
     names = rows.dropna(subset=facets).select(*facets).distinct()

@@ -9,7 +9,7 @@ partition by the tasks that wrote it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,9 +91,10 @@ def path_integral(paths: DataFrame, best: bool = False, by: tuple[str, ...] = ()
     return paths.groupBy(*by, "item").agg(total.alias("total_strength"), F.min("depth").alias("min_hops"), F.min_by(text, rank).alias("reason"), F.min_by("depth", rank).alias("best_depth"))
 
 
-def best_rows(df: DataFrame, score: str, item: str, n: int) -> DataFrame:
-    """The n rows of highest score; scores equal to nine decimals go by item."""
-    return df.orderBy(F.round(score, 9).desc(), item).limit(n)
+def best_rows(df: DataFrame, score: str, item: str, n: int | None) -> DataFrame:
+    """The n rows of highest score, all with None; scores equal to nine decimals go by item."""
+    ordered = df.orderBy(F.round(score, 9).desc(), item)
+    return ordered if n is None else ordered.limit(n)
 
 
 @dataclass(frozen=True)
@@ -104,14 +105,21 @@ class GraphModel:
     min_cooccurrence: int = 1
     alpha: float = 0.0
     prior_vocabulary: int = PRIOR_VOCABULARY
+    stored_edges: DataFrame | None = None
+    stored_totals: DataFrame | None = None
 
     @property
     def edges(self) -> DataFrame:
-        return cooccurrence(self.interactions, min_count=self.min_cooccurrence)
+        return cooccurrence(self.interactions, min_count=self.min_cooccurrence) if self.stored_edges is None else self.stored_edges
 
     @property
     def totals(self) -> DataFrame:
-        return node_totals(self.interactions)
+        return node_totals(self.interactions) if self.stored_totals is None else self.stored_totals
+
+    def build(self) -> GraphModel:
+        """The same with its edges and totals written once; edges are laid out by source, as lookups and paths read them."""
+        edges = cut(self.edges.repartitionByRange("source", "target").sortWithinPartitions("source", "target"), "edges")
+        return replace(self, stored_edges=edges, stored_totals=cut(self.totals, "totals"))
 
     def scored(self, scoring: str = "frequency", min_weight: float = 1) -> DataFrame:
         """(source, target, weight, score): weight itself, or (weight + alpha) / (total + alpha * vocabulary) for 'probability' and 'path'."""
@@ -140,8 +148,8 @@ class GraphModel:
         spark = self.interactions.sparkSession
         if not items:
             return spark.createDataFrame([(1.0,)], "score double")
-        reached = self.recommend(items[:1], len(items) + 1, n=1000, exclude_seed=False, scoring="probability")
-        return reached.where(F.col("recommended_item").isin(items[1:])).agg(F.coalesce(F.sum("total_strength"), F.lit(0.0)).alias("score"))
+        found = path_integral(simple_paths(self.scored("probability"), seed_rows(self.interactions, items[:1]), len(items) + 1))
+        return found.where(F.col("item").isin(items[1:])).agg(F.coalesce(F.sum("total_strength"), F.lit(0.0)).alias("score"))
 
     def rank_nodes(self, seeds: list[str], steps: int = 2, scoring: str = "probability", limit: int = 10) -> DataFrame:
         """(node, score, steps, reason): the same ranking under the names of the graph view."""

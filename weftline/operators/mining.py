@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import incidence, pair_counts
 from weftline.plans.shared import cut
 
+# The measures of a rule, in the order of the rule table.
 METRICS = ["support", "confidence", "lift", "leverage", "conviction", "zhang"]
 SEP = "|"
 
@@ -17,12 +18,14 @@ def frequent_itemsets(df: DataFrame, min_support: float = 0.05, max_len: int | N
 
     Support is rows (row pairs) over distinct sets, so repeated rows raise it;
     ``distinct`` counts sets instead, as do itemsets of three nodes and more.
+    Rows by set and node are counted once, at the call, and written; levels read them.
+    In order of length, then falling support.
     """
     if not 0 < min_support <= 1:
         raise ValueError("min_support must be in (0, 1]")
     known = df.where(F.col("set_id").isNotNull() & F.col("node_id").isNotNull())
-    n = known.agg(F.count_distinct("set_id").alias("_n"))
-    items = incidence(known, distinct=distinct)
+    items = cut(incidence(known, distinct=distinct), "incidence")
+    n = items.agg(F.count_distinct("set_id").alias("_n"))
     share = (F.col("c") / F.col("_n")).alias("support")
     singles = items.groupBy("node_id").agg(F.sum("m").alias("c")).crossJoin(F.broadcast(n)).select(F.array("node_id").alias("items"), share).where(F.col("support") >= min_support)
     levels = [singles]
@@ -32,14 +35,14 @@ def frequent_itemsets(df: DataFrame, min_support: float = 0.05, max_len: int | N
         levels.append(pairs.select(F.array("source", "target").alias("items"), share).where(F.col("support") >= min_support))
     held = None
     for _ in range(3, (max_len or 2) + 1):
-        held = _held_pairs(items, levels[1]) if held is None else held.join(levels[-1].select("items"), "items", "left_semi")
+        held = _held_pairs(kept, levels[1]) if held is None else held.join(levels[-1].select("items"), "items", "left_semi")
         held = _grow(items, held, levels[1])
         counted = held.groupBy("items").agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(n))
         levels.append(counted.select("items", share).where(F.col("support") >= min_support))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out.select(F.array_join("items", SEP).alias("itemset"), "support", F.size("items").alias("length"), "items")
+    return out.select(F.array_join("items", SEP).alias("itemset"), "support", F.size("items").alias("length"), "items").orderBy("length", F.desc("support"), "itemset")
 
 
 def _held_pairs(items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -56,7 +59,7 @@ def _grow(items: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.1, min_lift: float = 0.0, max_antecedent_len: int | None = None) -> DataFrame:
-    """(antecedents, consequents, support, confidence, lift, leverage, conviction, zhang) from itemsets with their ``items``.
+    """(antecedents, consequents, support, confidence, lift, leverage, conviction, zhang, antecedent_items) from itemsets with their ``items``, by falling lift.
 
     Every proper part of an itemset is tried as antecedent, by equi-joins on the
     parts. Itemsets are looked at three times, so they are written once.
@@ -74,28 +77,39 @@ def association_rules(itemsets: DataFrame, min_confidence: float = 0.1, min_lift
         parts = parts.where(F.size("ants") <= max_antecedent_len)
     known = itemsets.select("items", "support")
     joined = parts.join(known.select(F.col("items").alias("ants"), F.col("support").alias("s_a")), "ants").join(known.select(F.col("items").alias("cons"), F.col("support").alias("s_b")), "cons")
-    conf = F.col("s_ab") / F.col("s_a")
-    rules = joined.select("ants", "cons", "s_ab", "s_a", "s_b", conf.alias("conf"))
-    c, b = F.col("conf"), F.col("s_b")
-    bound = F.greatest(c * (1 - b), b * (1 - c))
-    out = rules.select(
-        F.array_join("ants", SEP).alias("antecedents"), F.array_join("cons", SEP).alias("consequents"), F.col("s_ab").alias("support"), c.alias("confidence"), (c / b).alias("lift"),
-        (F.col("s_ab") - F.col("s_a") * b).alias("leverage"), ((1 - b) / (1 - c + F.lit(1e-9))).alias("conviction"), F.when(bound > 0, (c - b) / bound).otherwise(F.lit(0.0)).alias("zhang"),
-    )
-    return out.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
-
-
-def recommend_by_rules(rules: DataFrame, seeds: list[str], n: int = 10, metric: str | None = "lift", score: str | None = None) -> DataFrame:
-    """(item_id, score, rule): the best rule for each consequent among those whose antecedents are all seeds."""
+    measures = rule_measures(F.col("s_ab"), F.col("s_a"), F.col("s_b"))
+    out = joined.select(F.array_join("ants", SEP).alias("antecedents"), F.array_join("cons", SEP).alias("consequents"), *[x.alias(m) for m, x in measures.items()], F.col("ants").alias("antecedent_items"))
+    return by_lift(out.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)))
+
+
+def rule_measures(s_ab: Column, s_a: Column, s_b: Column) -> dict[str, Column]:
+    """The measures by name, from the supports of a rule and of its two sides."""
+    conf = s_ab / s_a
+    bound = F.greatest(conf * (1 - s_b), s_b * (1 - conf))
+    zhang = F.when(bound > 0, (conf - s_b) / bound).otherwise(F.lit(0.0))
+    return dict(zip(METRICS, (s_ab, conf, conf / s_b, s_ab - s_a * s_b, (1 - s_b) / (1 - conf + F.lit(1e-9)), zhang)))
+
+
+def by_lift(rules: DataFrame) -> DataFrame:
+    return rules.orderBy(F.desc("lift"), "antecedents", "consequents")
+
+
+def recommend_by_rules(rules: DataFrame, seeds: list[str], n: int = 10, metric: str | None = "lift", score: str | None = None, keep: list[str] | None = None, arrow: str = " -> ") -> DataFrame:
+    """(item_id, score, kept columns, rule): the best rule for each consequent among those whose antecedents are all seeds.
+
+    Antecedents are read from ``antecedent_items``; only where a table of rules
+    lacks them, as one stored as text does, is their text split at '|'.
+    """
     if score is None and metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     wanted = F.array(*[F.lit(s) for s in seeds]) if seeds else F.array().cast("array<string>")
-    match = (F.size(F.array_except(F.split("antecedents", r"\|"), wanted)) == 0) & ~F.col("consequents").isin(seeds)
+    own = F.col("antecedent_items") if "antecedent_items" in rules.columns else F.split("antecedents", r"\|")
+    match = (F.size(F.array_except(own, wanted)) == 0) & ~F.col("consequents").isin(seeds)
     value = F.col(score or metric)
-    rule = F.concat_ws(" -> ", "antecedents", "consequents")
+    rule = F.concat_ws(arrow, "antecedents", "consequents")
     best = Window.partitionBy("consequents").orderBy(F.round(value, 9).desc(), rule)
     ranked = rules.where(match).withColumn("_k", F.row_number().over(best)).where("_k = 1")
-    return ranked.select(F.col("consequents").alias("item_id"), value.alias("score"), rule.alias("rule")).orderBy(F.round("score", 9).desc(), "item_id").limit(n)
+    return ranked.select(F.col("consequents").alias("item_id"), value.alias("score"), *(keep or []), rule.alias("rule")).orderBy(F.round("score", 9).desc(), "item_id").limit(n)
 
 
 def sequential_patterns(df: DataFrame, timestamp_col: str = "event_time", min_support: float = 0.05, max_gap: int | None = None) -> DataFrame:
@@ -121,4 +135,4 @@ def sequential_patterns(df: DataFrame, timestamp_col: str = "event_time", min_su
         met = df.withColumn("_ahead", ahead).select("set_id", F.col("node_id").alias("prefix"), F.col(timestamp_col).alias("t0"), F.explode("_ahead").alias("x")).where(F.col("t0") < F.col("x.t"))
         counted = met.groupBy("prefix", F.col("x.node").alias("suffix")).agg(F.count_distinct("set_id").alias("count"))
     shared = counted.crossJoin(F.broadcast(n)).withColumn("support", F.col("count") / F.col("_n")).where(F.col("support") >= min_support)
-    return shared.select("prefix", "suffix", F.concat_ws(" -> ", "prefix", "suffix").alias("pattern"), "count", "support")
+    return shared.select("prefix", "suffix", F.concat_ws(" -> ", "prefix", "suffix").alias("pattern"), "count", "support").orderBy(F.desc("support"), "pattern")

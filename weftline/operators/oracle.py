@@ -56,6 +56,17 @@ METRICS = ["support", "confidence", "lift", "leverage", "conviction", "zhang"]
 RULE_COLS = "antecedents, consequents, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
 
 
+# Rules over ids that may hold '|': the two items stay apart.
+_RULES_OF_ANY = (
+    TOTALS + ", " + N_SETS + ", f1 AS (SELECT node_id AS x, total / n AS support FROM t, n WHERE total / n >= 0.01), "
+    "r1 AS (SELECT a.node_id AS antecedents, b.node_id AS consequents, count(*) / any_value(n) AS s FROM i a JOIN i b ON a.set_id = b.set_id AND a.node_id <> b.node_id, n "
+    "WHERE a.node_id IN (SELECT x FROM f1) AND b.node_id IN (SELECT x FROM f1) GROUP BY 1, 2 HAVING count(*) / any_value(n) >= 0.01), "
+    "r2 AS (SELECT antecedents, consequents, s AS support, s / a.support AS confidence, s / a.support / b.support AS lift, s - a.support * b.support AS leverage, (1 - b.support) / (1 - s / a.support + 1e-9) AS conviction, "
+    "greatest(s / a.support * (1 - b.support), b.support * (1 - s / a.support)) AS z, s / a.support - b.support AS d FROM r1 JOIN f1 a ON a.x = antecedents JOIN f1 b ON b.x = consequents), "
+    "rules AS (SELECT antecedents, consequents, support, confidence, lift, leverage, conviction, CASE WHEN z > 0 THEN d / z ELSE 0 END AS zhang FROM r2 WHERE confidence >= 0.1)"
+)
+
+
 def similarity(view: str, metric: str, least: int = 1, top: int = 50) -> str:
     score = {"jaccard": "weight / (a.total + b.total - weight)", "cosine": "weight / (sqrt(a.total) * sqrt(b.total))", "lift": "weight * n / (a.total::DOUBLE * b.total)"}[metric]
     return on(view, TOTALS, N_SETS, edges(least), f"s0 AS (SELECT source AS item_a, target AS item_b, {score} AS score FROM e JOIN t a ON a.node_id = source JOIN t b ON b.node_id = target, n)", f"sim AS (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY item_a ORDER BY round(score, 9) DESC, item_b) <= {top})")
@@ -110,18 +121,34 @@ SERIES = windows(8) + ", c AS (SELECT win, node_id, count(*)::DOUBLE AS c FROM x
 _FACET = "coalesce(region, 'None')", "coalesce(day_period, 'None')"
 _LEVELS = "(0, 0, TRUE, TRUE), (1, 0, TRUE, FALSE), (1, 1, FALSE, TRUE), (2, 0, FALSE, FALSE)"
 
-FACET_RECOMMEND = f"""WITH r AS (SELECT order_id::VARCHAR AS s, item AS x, region, day_period FROM basket_facets WHERE order_id IS NOT NULL AND item IS NOT NULL),
+_FACET_ROWS = f"""WITH r AS (SELECT order_id::VARCHAR AS s, item AS x, region, day_period FROM basket_facets WHERE order_id IS NOT NULL AND item IS NOT NULL),
 seed AS (SELECT item FROM basket_facets WHERE item IS NOT NULL GROUP BY item ORDER BY count(*) DESC, item LIMIT 1),
 v(level, ord, kr, kd) AS (VALUES {_LEVELS}),
 k AS (SELECT level, ord, kr, kd, s, x, CASE WHEN kr THEN region END AS region, CASE WHEN kd THEN day_period END AS day_period FROM r, v WHERE (NOT kr OR region IS NOT NULL) AND (NOT kd OR day_period IS NOT NULL)),
-rows AS (SELECT * FROM k WHERE level = 0 UNION ALL SELECT DISTINCT * FROM k WHERE level > 0),
-own AS (SELECT a.level, a.ord, a.region, a.day_period, b.x AS item, count(*)::DOUBLE AS c FROM rows a JOIN rows b ON a.level = b.level AND a.ord = b.ord AND a.region IS NOT DISTINCT FROM b.region AND a.day_period IS NOT DISTINCT FROM b.day_period AND a.s = b.s WHERE a.x = (SELECT item FROM seed) AND b.x <> a.x GROUP BY ALL),
-top AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY level, ord, region, day_period ORDER BY c DESC, item) <= 5),
+rows AS (SELECT * FROM k WHERE level = 0 UNION ALL SELECT DISTINCT * FROM k WHERE level > 0),"""
+FACET_RECOMMEND = (
+    _FACET_ROWS
+    + """
+own AS (SELECT a.level, a.ord, a.region, a.day_period, b.x AS item, count(*)::DOUBLE AS c FROM rows a JOIN rows b ON a.level = b.level AND a.ord = b.ord AND a.region IS NOT DISTINCT FROM b.region AND a.day_period IS NOT DISTINCT FROM b.day_period AND a.s = b.s WHERE a.x = (SELECT item FROM seed) AND b.x <> a.x GROUP BY ALL),"""
+)
+FACET_RULES = (
+    _FACET_ROWS
+    + """
+nr AS (SELECT level, ord, region, day_period, count(DISTINCT s) AS n FROM rows GROUP BY ALL), nx AS (SELECT level, ord, region, day_period, x, count(*) AS c FROM rows GROUP BY ALL),
+pr AS (SELECT a.level, a.ord, a.region, a.day_period, b.x AS item, count(*) AS w FROM rows a JOIN rows b ON a.level = b.level AND a.ord = b.ord AND a.region IS NOT DISTINCT FROM b.region AND a.day_period IS NOT DISTINCT FROM b.day_period AND a.s = b.s WHERE a.x = (SELECT item FROM seed) AND b.x <> a.x GROUP BY ALL),
+own AS (SELECT p.level, p.ord, p.region, p.day_period, p.item, (p.w / nr.n) / (na.c / nr.n) / (nb.c / nr.n) AS c FROM pr p
+ JOIN nr ON nr.level = p.level AND nr.ord = p.ord AND nr.region IS NOT DISTINCT FROM p.region AND nr.day_period IS NOT DISTINCT FROM p.day_period
+ JOIN nx na ON na.level = p.level AND na.ord = p.ord AND na.region IS NOT DISTINCT FROM p.region AND na.day_period IS NOT DISTINCT FROM p.day_period AND na.x = (SELECT item FROM seed)
+ JOIN nx nb ON nb.level = p.level AND nb.ord = p.ord AND nb.region IS NOT DISTINCT FROM p.region AND nb.day_period IS NOT DISTINCT FROM p.day_period AND nb.x = p.item
+ WHERE p.w / nr.n >= 0.05 AND na.c / nr.n >= 0.05 AND nb.c / nr.n >= 0.05 AND (p.w / nr.n) / (na.c / nr.n) >= 0.1),"""
+)
+_FACET_BEST = """
+top AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY level, ord, region, day_period ORDER BY round(c, 9) DESC, item) <= 5),
 names AS (SELECT DISTINCT region, day_period, 'region=' || region || '|day_period=' || day_period AS slice FROM r WHERE region IS NOT NULL AND day_period IS NOT NULL),
 met AS (SELECT n.slice, t.level, t.item, t.c FROM names n JOIN v ON TRUE JOIN top t ON t.level = v.level AND t.ord = v.ord AND (NOT kr OR t.region = n.region) AND (NOT kd OR t.day_period = n.day_period)
  UNION ALL SELECT 'global', 0, item, c FROM top WHERE level = 2),
 best AS (SELECT slice, item, sum(c) AS c, level FROM met WHERE level = (SELECT min(level) FROM met m WHERE m.slice = met.slice) GROUP BY slice, item, level)
-SELECT slice, item AS recommended_item, round(c, 6) AS total_strength, level FROM best QUALIFY row_number() OVER (PARTITION BY slice ORDER BY c DESC, item) <= 5"""
+SELECT slice, item AS recommended_item, round(c, 6) AS total_strength, level FROM best QUALIFY row_number() OVER (PARTITION BY slice ORDER BY round(c, 9) DESC, item) <= 5"""
 
 EVALUATION = """WITH i AS ({view}), rows AS (SELECT o_custkey::VARCHAR AS user_id, node_id AS item, sort_column FROM i JOIN orders ON set_id = o_orderkey::VARCHAR),
 top AS (SELECT list(node_id ORDER BY c DESC, node_id) AS recs FROM (SELECT node_id, count(*) AS c FROM i GROUP BY 1 ORDER BY c DESC, node_id LIMIT 10)),
@@ -175,6 +202,11 @@ def oracle_sql() -> dict[str, str]:
     )
     features = ", ".join(f"round({f}({m}), 6) AS {m}_{n}" for m in METRICS for n, f in (("mean", "avg"), ("max", "max")))
     lag_rows = " UNION ALL ".join(f"SELECT na, nb, {k} AS lag, coalesce({_corr(8, 'x', 'y', k)}, 0) AS ab, coalesce({_corr(8, 'y', 'x', k)}, 0) AS ba FROM pr" for k in (1, 2))
+    # one cluster, in which no measure is further from the mean than another: the first one ranks
+    profile = (
+        f", m AS (SELECT consequents AS item_id, support AS s, antecedents || ' → ' || consequents AS rule FROM rules WHERE antecedents IN ({seeds(brands)}) AND consequents NOT IN ({seeds(brands)}) "
+        "QUALIFY row_number() OVER (PARTITION BY consequents ORDER BY round(support, 9) DESC, rule) = 1) SELECT item_id, round(s, 6) AS score, 0 AS cluster_id, '{shown}' AS dominant_metric, rule FROM m ORDER BY round(s, 9) DESC, item_id LIMIT 10"
+    )
     return {
         "p7_found": " UNION ALL ".join(_key_counts(f) for f in FIELDS),
         "p7_per_key": _key_profile("node_id", "set_id") + " UNION ALL " + _key_profile("set_id", "node_id"),
@@ -239,7 +271,18 @@ def oracle_sql() -> dict[str, str]:
         "facet_composite": f"SELECT coalesce(order_id::VARCHAR, 'None') || '|' || {_FACET[0]} || '|' || {_FACET[1]} AS _context_key, count(*) AS n_rows FROM basket_facets GROUP BY 1",
         "facet_entities": f"SELECT item, count(*) AS n_rows, count(DISTINCT order_id) AS n_orders FROM (SELECT order_id, item FROM basket_facets UNION ALL SELECT order_id, min('facet:region=' || {_FACET[0]} || '|facet:day_period=' || {_FACET[1]}) FROM basket_facets WHERE order_id IS NOT NULL GROUP BY 1) GROUP BY 1",
         "facet_split": "SELECT 'region=' || region || '|day_period=' || day_period AS slice, count(*) AS n_rows, count(DISTINCT item) AS n_items FROM basket_facets WHERE region IS NOT NULL AND day_period IS NOT NULL GROUP BY 1",
-        "facet_recommend": FACET_RECOMMEND,
+        "facet_recommend": FACET_RECOMMEND + _FACET_BEST,
+        "facet_recommend_rules": FACET_RULES + _FACET_BEST,
+        "recommend_by_profile": on("basket_brand", RULES.format(lift=0)) + profile.format(shown="support"),
+        "recommend_by_archetype": on("basket_brand", RULES.format(lift=0)) + profile.format(shown="support_mean"),
+        "interactions_edges": on("interactions", edges(20)) + " FROM e",
+        "interactions_itemsets": on("interactions", ITEMSETS.replace("0.03", "0.01")) + " SELECT itemset, round(support, 6) AS support, length FROM (FROM f1 UNION ALL FROM f2)",
+        "interactions_rules": on("interactions", _RULES_OF_ANY) + f" SELECT {RULE_COLS} FROM rules",
+        "interactions_recommend_rules": on("interactions", _RULES_OF_ANY) + ", s AS (SELECT node_id FROM t ORDER BY total DESC, node_id LIMIT 2), m AS (SELECT consequents AS item_id, lift, antecedents || ' -> ' || consequents AS rule FROM rules WHERE antecedents IN (FROM s) AND consequents NOT IN (FROM s) "
+        "QUALIFY row_number() OVER (PARTITION BY consequents ORDER BY round(lift, 9) DESC, rule) = 1) SELECT item_id, round(lift, 6) AS score, rule FROM m ORDER BY round(lift, 9) DESC, item_id LIMIT 10",
+        "interactions_cf": similarity("interactions", "cosine", 8, 10) + " SELECT item_a, item_b, round(score, 6) AS score FROM sim",
+        "interactions_snapshots": on("interactions", windows(), WIN_EDGES) + " FROM we WHERE weight >= 5",
+        "interactions_sccs": on("interactions", TOTALS, edges(8), "se AS (SELECT 0 AS win, source, target FROM e JOIN t ON node_id = source WHERE weight / total >= 0.5)", closure("se")) + " SELECT node, scc_id, scc_size, TRUE AS is_sink, members FROM sinks",
         "evaluate_recommendations": EVALUATION.format(view=SQL["basket_brand"], cols="user_id, " + ", ".join(_EV), means=", ".join(f"avg({m})" for m in _EV), rounds=", ".join(f"round({m}, 6) AS {m}" for m in _EV)),
         "catalogue_coverage": on("basket_brand", TOTALS) + ", top AS (SELECT node_id FROM t ORDER BY total DESC, node_id LIMIT 10) SELECT round(count(DISTINCT p_brand) FILTER (p_brand IN (FROM top)) / count(DISTINCT p_brand), 6) AS coverage FROM part",
         "temporal_split": on("event_session", "p AS (SELECT *, row_number() OVER (ORDER BY sort_column) AS k, count(*) OVER () AS n FROM i)") + " SELECT CASE WHEN k <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS side, count(*) AS n_rows, min(sort_column) AS first_time, max(sort_column) AS last_time FROM p GROUP BY 1",

@@ -36,6 +36,7 @@ class Profile:
     clusters: list[dict]
     key: str
     labels: dict[int, str] = field(default_factory=dict)
+    rules: DataFrame | None = None
 
     def label(self, names: dict[int, str]) -> Profile:
         unknown = sorted(set(names) - {c["cluster_id"] for c in self.clusters})
@@ -45,18 +46,32 @@ class Profile:
         return self
 
     def summary(self) -> DataFrame:
-        """(cluster_id, label, size, dominant_metric)."""
-        rows = [(c["cluster_id"], self.labels.get(c["cluster_id"], f"cluster_{c['cluster_id']}"), c["size"], c["dominant_metric"]) for c in self.clusters]
-        return self.table.sparkSession.createDataFrame(rows, "cluster_id int, label string, size long, dominant_metric string")
-
-    def cluster_of(self, item: str) -> DataFrame:
-        return self.table.where(F.col(self.key) == item).select("cluster_id", "dominant_metric")
+        """(cluster_id, label, dominant_metric, size, centroid by feature), and of items also ``members``, the sorted items."""
+        names = list(self.clusters[0]["centroid"])
+        rows = [(c["cluster_id"], self.labels.get(c["cluster_id"], ""), c["dominant_metric"], c["size"], *(float(c["centroid"][f]) for f in names)) for c in self.clusters]
+        out = self.table.sparkSession.createDataFrame(rows, "cluster_id int, label string, dominant_metric string, size long, " + ", ".join(f"`{f}` double" for f in names))
+        if self.key != "item":
+            return out
+        return out.join(self.table.groupBy("cluster_id").agg(F.array_sort(F.collect_list("item")).alias("members")), "cluster_id")
+
+    def cluster_of(self, item: str) -> dict | None:
+        """The description of the cluster that an item is in; None for an unknown item, or one in rules of several clusters."""
+        found = self.table.where(F.col(self.key) == item).select("cluster_id").distinct().limit(2).collect()
+        return next(c for c in self.clusters if c["cluster_id"] == found[0].cluster_id) if len(found) == 1 else None
+
+    def rules_table(self) -> DataFrame:
+        """The rows with their cluster and its dominant metric."""
+        return self.table
+
+    def recommend(self, seeds: list[str], cluster: int | str | None = None, n: int = 10, rules: DataFrame | None = None) -> DataFrame:
+        """(item_id, score, cluster_id, dominant_metric, rule); an item profile ranks ``rules``."""
+        return recommend_by_profile(self, seeds, cluster, n) if self.key != "item" else recommend_by_archetype(self, rules if rules is not None else self.rules, seeds, cluster, n)
 
     def chosen(self, cluster: int | str | None) -> list[int]:
         known = [c["cluster_id"] for c in self.clusters]
         if cluster is None:
             return known
-        found = [i for i in known if i == cluster or self.labels.get(i, f"cluster_{i}") == cluster]
+        found = [i for i in known if i == cluster or self.labels.get(i) == cluster]
         if not found:
             raise ValueError(f"unknown cluster: {cluster!r}")
         return found
@@ -110,25 +125,31 @@ def profile_rules(rules: DataFrame, n_clusters: int | str = "auto", max_k: int =
 def profile_items(rules: DataFrame, n_clusters: int | str = "auto", max_k: int = 8, seed: int = 0) -> Profile:
     """Items (consequents) with their features, cluster_id and dominant_metric."""
     features = item_features(rules)
-    return _cluster(features, [c for c in features.columns if c != "item"], n_clusters, max_k, seed, "item")
+    out = _cluster(features, [c for c in features.columns if c != "item"], n_clusters, max_k, seed, "item")
+    out.rules = rules
+    return out
 
 
-def _by_dominant(names: list[str]) -> Column:
-    """The value of the metric that ``dominant_metric`` names, lift where it names none."""
+def _by_dominant(names: list[str], dominant: Column | None = None) -> Column:
+    """The value of the metric that the dominant one names, lift where it names none."""
+    dominant = F.col("dominant_metric") if dominant is None else dominant
     out = F.col("lift")
     for m in names:
-        out = F.when(F.col("dominant_metric") == m, F.col(m)).otherwise(out)
+        out = F.when(dominant == m, F.col(m)).otherwise(out)
     return out
 
 
 def recommend_by_profile(profile: Profile, seeds: list[str], cluster: int | str | None = None, n: int = 10) -> DataFrame:
-    """(item_id, score, rule) from a rule profile: rules of the chosen clusters, each ranked by its cluster's dominant metric."""
+    """(item_id, score, cluster_id, dominant_metric, rule) from a rule profile: rules of the chosen clusters, each ranked by its cluster's dominant metric; of an item's rules the best."""
     ranked = profile.table.where(F.col("cluster_id").isin(profile.chosen(cluster))).withColumn("_score", _by_dominant(METRICS))
-    return recommend_by_rules(ranked, seeds, n, score="_score")
+    return recommend_by_rules(ranked, seeds, n, score="_score", keep=["cluster_id", "dominant_metric"], arrow=" → ")
 
 
 def recommend_by_archetype(profile: Profile, rules: DataFrame, seeds: list[str], archetype: int | str | None = None, n: int = 10) -> DataFrame:
-    """(item_id, score, rule) from an item profile: rules whose consequent is in the chosen clusters."""
-    items = profile.table.where(F.col("cluster_id").isin(profile.chosen(archetype))).select(F.col("item").alias("consequents"), F.regexp_replace("dominant_metric", "_(mean|max)$", "").alias("dominant_metric"))
-    ranked = rules.join(items, "consequents").withColumn("_score", _by_dominant(METRICS))
-    return recommend_by_rules(ranked, seeds, n, score="_score")
+    """(item_id, score, cluster_id, dominant_metric, rule) from an item profile: rules whose consequent is in the chosen clusters.
+
+    A dominant mean or maximum ranks by its metric; one that is no metric, the number of rules, by lift.
+    """
+    items = profile.table.where(F.col("cluster_id").isin(profile.chosen(archetype))).select(F.col("item").alias("consequents"), "cluster_id", "dominant_metric")
+    ranked = rules.join(items, "consequents").withColumn("_score", _by_dominant(METRICS, F.regexp_replace("dominant_metric", "_(mean|max)$", "")))
+    return recommend_by_rules(ranked, seeds, n, score="_score", keep=["cluster_id", "dominant_metric"], arrow=" → ")

@@ -11,7 +11,7 @@ from weftline.operators import aggregates, evaluation, facets, mining, profiling
 from weftline.operators.components import sink_components
 from weftline.operators.graph import GraphModel
 from weftline.operators.skew import detect_heavy_keys, key_counts, key_profile
-from weftline.operators.views import basket_brand, basket_facet, basket_part, event_session, event_type, table
+from weftline.operators.views import basket_brand, basket_facet, basket_part, event_session, event_type, interactions, table
 from weftline.plans.shared import cut
 from weftline.sources.interactions import canonical, from_matrix
 
@@ -79,11 +79,11 @@ def frequent_itemsets_len3(spark, sf_dir):
 
 
 def association_rules(spark, sf_dir):
-    return rounded(_rules(spark, sf_dir), *mining.METRICS)
+    return rounded(_rules(spark, sf_dir).drop("antecedent_items"), *mining.METRICS)
 
 
 def association_rules_min_lift(spark, sf_dir):
-    return rounded(_rules(spark, sf_dir, 0.9), *mining.METRICS)
+    return rounded(_rules(spark, sf_dir, 0.9).drop("antecedent_items"), *mining.METRICS)
 
 
 def recommend_rules(spark, sf_dir):
@@ -293,12 +293,60 @@ def item_features(spark, sf_dir):
     return rounded(features, *[c for c in features.columns if c not in ("item", "rule_count")])
 
 
+def facet_recommend_rules(spark, sf_dir):
+    df = basket_facet(spark, sf_dir)
+    return rounded(facets.recommend_by_facet(df, _facet_seeds(df)[:1], "order_id", "item", ["region", "day_period"], "rules", n=5), "total_strength")
+
+
+def recommend_by_profile(spark, sf_dir):
+    return rounded(profiling.profile_rules(cut(_rules(spark, sf_dir), "rules"), 1).recommend(BRAND_SEEDS, n=10), "score")
+
+
+def recommend_by_archetype(spark, sf_dir):
+    return rounded(profiling.profile_items(cut(_rules(spark, sf_dir), "rules"), 1).recommend(BRAND_SEEDS, n=10), "score")
+
+
+def interactions_edges(spark, sf_dir):
+    return GraphModel(interactions(spark, sf_dir), 20).edges
+
+
+def interactions_itemsets(spark, sf_dir):
+    return rounded(mining.frequent_itemsets(interactions(spark, sf_dir), 0.01).drop("items"), "support")
+
+
+def _interaction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.association_rules(mining.frequent_itemsets(interactions(spark, sf_dir), 0.01), 0.1)
+
+
+def interactions_rules(spark, sf_dir):
+    return rounded(_interaction_rules(spark, sf_dir).drop("antecedent_items"), *mining.METRICS)
+
+
+def interactions_recommend_rules(spark, sf_dir):
+    """Recommendations for the two most frequent nodes."""
+    seeds = [r.node_id for r in interactions(spark, sf_dir).groupBy("node_id").count().orderBy(F.desc("count"), "node_id").limit(2).collect()]
+    return rounded(mining.recommend_by_rules(_interaction_rules(spark, sf_dir), seeds, 10, "lift"), "score")
+
+
+def interactions_cf(spark, sf_dir):
+    return rounded(recommend.ItemSimilarity(interactions(spark, sf_dir), "cosine", 8, 10).table, "score")
+
+
+def interactions_snapshots(spark, sf_dir):
+    return temporal.SnapshotDiff(interactions(spark, sf_dir), 4, 5).timeline()
+
+
+def interactions_sccs(spark, sf_dir):
+    return sink_components(interactions(spark, sf_dir), 8, 0.5)
+
+
 def rule_profiles(spark, sf_dir):
     return profiling.profile_rules(cut(_rules(spark, sf_dir), "rules"), "auto", 5).summary()
 
 
 def item_profiles(spark, sf_dir):
-    return profiling.profile_items(cut(_rules(spark, sf_dir), "rules"), 3).summary()
+    summary = profiling.profile_items(cut(_rules(spark, sf_dir), "rules"), 3).summary()
+    return summary.withColumn("members", F.array_join("members", ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -307,7 +355,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sequential_patterns, sequential_patterns_gap, itemcf_recommend, itemcf_similar, popularity_global, popularity_trending, popularity_exclude, merge_union, graph_edges, graph_adjacency, graph_neighbors,
         score_basket, rank_nodes, sink_sccs, decay_edges, decay_recommend, sliding_window_recommend, snapshot_timeline, snapshot_diff, scc_tracker, scc_evolution, directed_edges, directed_recommend_next, directed_reachable,
         node_per_window, node_rollup, edge_lifecycle, graph_snapshots, community_metrics, node_synchrony, leading_lagging, facet_composite, facet_entities, facet_split, facet_recommend,
-        evaluate_recommendations, catalogue_coverage, temporal_split, temporal_split_sets, random_split, item_features, rule_profiles, item_profiles,
+        evaluate_recommendations, catalogue_coverage, temporal_split, temporal_split_sets, random_split, item_features, rule_profiles, item_profiles, recommend_by_profile, recommend_by_archetype, facet_recommend_rules,
+        interactions_edges, interactions_itemsets, interactions_rules, interactions_recommend_rules, interactions_cf, interactions_snapshots, interactions_sccs,
     ]
     return {f.__name__: f for f in own} | {
         "itemcf_jaccard": _similarity("jaccard", basket_brand), "itemcf_cosine": _similarity("cosine", basket_part, min_cooccurrence=2, top_k_similar=10), "itemcf_lift": _similarity("lift", basket_brand),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import jaccard, lift
 from weftline.operators.graph import best_rows, cooccurrence, node_totals
+from weftline.plans.shared import cut
 
 
 @dataclass(frozen=True)
@@ -20,6 +21,7 @@ class ItemSimilarity:
     metric: str = "jaccard"
     min_cooccurrence: int = 1
     top_k_similar: int = 50
+    stored: DataFrame | None = None
 
     def __post_init__(self):
         if self.metric not in ("jaccard", "cosine", "lift"):
@@ -28,6 +30,8 @@ class ItemSimilarity:
     @property
     def table(self) -> DataFrame:
         """(item_a, item_b, score): the most similar items of each item; scores equal to nine decimals go by name."""
+        if self.stored is not None:
+            return self.stored
         pairs = cooccurrence(self.interactions, min_count=self.min_cooccurrence)
         totals = node_totals(self.interactions)
         joined = pairs.join(totals.select(F.col("node_id").alias("source"), F.col("total").alias("a")), "source").join(totals.select(F.col("node_id").alias("target"), F.col("total").alias("b")), "target")
@@ -39,6 +43,10 @@ class ItemSimilarity:
         best = Window.partitionBy("item_a").orderBy(F.round("score", 9).desc(), "item_b")
         return scored.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= self.top_k_similar).drop("_k")
 
+    def fit(self) -> ItemSimilarity:
+        """The same with its table written once."""
+        return replace(self, stored=cut(self.table, "similarity"))
+
     def similar(self, item: str, n: int = 10) -> DataFrame:
         return best_rows(self.table.where(F.col("item_a") == item).select(F.col("item_b").alias("item_id"), "score"), "score", "item_id", n)
 

@@ -49,6 +49,10 @@ class DecayGraph:
         totals = aged.groupBy(F.col("node_id").alias("source")).agg(F.sum("w").alias("_total"))
         return edges.join(totals, "source").select("source", "target", "decay_weight", (F.col("decay_weight") / F.col("_total")).alias("score"))
 
+    def edge_table(self) -> DataFrame:
+        """The edges by falling score."""
+        return self.edges.orderBy(F.desc("score"), "source", "target")
+
     def recommend(self, seeds: list[str], max_depth: int = 2, n: int = 10, exclude_seed: bool = True) -> DataFrame:
         """(recommended_item, decay_score, min_hops, reason)."""
         found = path_integral(simple_paths(self.edges, seed_rows(self.interactions, seeds), max_depth))
@@ -102,12 +106,12 @@ class SnapshotDiff:
         return windowed_edges(self.interactions, w, self.min_cooccurrence).join(F.broadcast(w.frame(self.interactions.sparkSession)), "win").select("win", "label", "source", "target", "weight")
 
     def diff(self, a: int, b: int) -> DataFrame:
-        """(source, target, weight_a, weight_b, delta, kind): emerging and fading edges are missing on one side; equal weights count as weakening."""
+        """(source, target, weight_a, weight_b, delta, kind), the largest changes first: emerging and fading edges are missing on one side; equal weights count as weakening."""
         edges = windowed_edges(self.interactions, self.windows, self.min_cooccurrence).where(F.col("win").isin(a, b))
         at = lambda i: F.coalesce(F.sum(F.when(F.col("win") == i, F.col("weight"))), F.lit(0)).cast("long")
         both = edges.groupBy("source", "target").agg(at(a).alias("weight_a"), at(b).alias("weight_b"))
         kind = F.when(F.col("weight_a") == 0, "emerging").when(F.col("weight_b") == 0, "fading").when(F.col("weight_b") > F.col("weight_a"), "strengthening").otherwise("weakening")
-        return both.withColumn("delta", F.col("weight_b") - F.col("weight_a")).withColumn("kind", kind)
+        return both.withColumn("delta", F.col("weight_b") - F.col("weight_a")).withColumn("kind", kind).orderBy(F.abs("delta").desc(), "source", "target")
 
 
 @dataclass(frozen=True)
@@ -202,11 +206,16 @@ class DirectedGraph:
         totals = raw.groupBy("source").agg(F.sum("weight").alias("_out"))
         return raw.join(totals, "source").select("source", "target", "weight", (F.col("weight") / F.col("_out")).alias("score"))
 
+    def edge_table(self) -> DataFrame:
+        """The edges by falling score."""
+        return self.edges.orderBy(F.desc("score"), "source", "target")
+
     def recommend_next(self, seeds: list[str], max_depth: int = 3, n: int = 10, exclude_seed: bool = True) -> DataFrame:
         """(next_item, transition_prob, steps, path): steps are those of the strongest path. No seeds, no rows."""
         found = path_integral(simple_paths(self.edges, seed_rows(self.interactions, seeds), max_depth))
         found = found.where(~F.col("item").isin(seeds)) if exclude_seed else found
         return best_rows(found.select(F.col("item").alias("next_item"), F.col("total_strength").alias("transition_prob"), F.col("best_depth").alias("steps"), F.col("reason").alias("path")), "transition_prob", "next_item", n)
 
-    def reachable_from(self, node: str, max_depth: int = 3) -> DataFrame:
-        return self.recommend_next([node], max_depth, n=1000)
+    def reachable_from(self, node: str, max_depth: int = 3, n: int | None = 1000) -> DataFrame:
+        """The ``n`` nodes reached with the highest probability, all of them with None."""
+        return self.recommend_next([node], max_depth, n=n)

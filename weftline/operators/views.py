@@ -38,7 +38,13 @@ def basket_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "basket_facets")
 
 
+def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored relation, with its hot node, wide sets, repeated rows and ids of any letters."""
+    return table(spark, sf_dir, "interactions").dropna(subset=["set_id", "node_id"]).select("set_id", "node_id", "sort_column")
+
+
 SQL = {
+    "interactions": "SELECT set_id, node_id, sort_column FROM interactions WHERE set_id IS NOT NULL AND node_id IS NOT NULL",
     "basket_brand": "SELECT l_orderkey::VARCHAR AS set_id, p_brand AS node_id, l_shipdate AS sort_column FROM lineitem JOIN part ON l_partkey = p_partkey",
     "basket_part": "SELECT l_orderkey::VARCHAR AS set_id, l_partkey::VARCHAR AS node_id, l_shipdate AS sort_column FROM lineitem",
     "event_session": "SELECT user_id || '|' || strftime(ts, '%Y-%m-%d') AS set_id, event_type || '_' || (json_extract_string(props, '$.k')::INTEGER % 10) AS node_id, ts AS sort_column FROM events",

@@ -38,11 +38,16 @@ class Windows:
         return spark.createDataFrame(rows, "win int, a long, b long").select("win", label.alias("label"))
 
     def ids(self, us: Column) -> Column:
-        """The windows that hold an instant, as an array."""
+        """The windows that hold an instant, as an array, by arithmetic: the one that it falls in and, where it is on a border, a neighbour."""
         if self.low is None:
             return F.array().cast("array<int>")
-        held = [F.when(us.between(self.start(i), self.start(i + 1)), F.lit(i)) for i in range(self.n)]
-        return F.array_compact(F.array(*held))
+        low, span, n = F.lit(self.low), self.high - self.low, F.lit(self.n).cast("long")
+        if not span:
+            return F.when(us == low, F.sequence(F.lit(0), F.lit(self.n - 1))).otherwise(F.array().cast("array<int>"))
+        at = F.floor((us - low).cast("decimal(38,0)") * n / F.lit(span).cast("decimal(19,0)")).cast("int")
+        start = lambda i: low + F.floor(F.lit(span).cast("decimal(19,0)") * i / n).cast("long")
+        near = F.array(at - 1, at, at + 1)
+        return F.filter(near, lambda i: (i >= 0) & (i < self.n) & us.between(start(i), start(i + 1)))
 
     def tag(self, df: DataFrame, time_col: str = "sort_column") -> DataFrame:
         """``df`` with ``win``, one row for each window a row is in. Rows without a time are in none."""

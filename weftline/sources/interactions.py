@@ -45,12 +45,16 @@ def canonical(df: DataFrame, set_col: str, node_col: str, sort_col: str | None =
     if missing:
         raise ValueError(f"Missing columns: {missing}")
     out = df.select(F.col(f"`{set_col}`").cast("string").alias("set_id"), F.col(f"`{node_col}`").cast("string").alias("node_id"), *([F.col(f"`{sort_col}`").alias("sort_column")] if sort_col else []))
-    if sort_callback:
-        try:
-            out = out.transform(sort_callback)
-        except Exception as e:
-            warnings.warn(f"sort_callback failed: {e}", stacklevel=2)
-    return out.dropna(subset=["set_id", "node_id"])
+    return reworked(out, sort_callback).dropna(subset=["set_id", "node_id"])
+
+
+def reworked(df: DataFrame, callback: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """``df`` after the callback; as it was, with a warning, where that fails."""
+    try:
+        return df.transform(callback) if callback else df
+    except Exception as e:
+        warnings.warn(f"sort_callback failed: {e}", stacklevel=3)
+        return df
 
 
 def append(old: DataFrame | None, new: DataFrame) -> DataFrame:
