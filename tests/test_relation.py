@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import weftline
+from weftline.engine import Engine
 from weftline.operators import evaluation, facets, list_metrics, profiling
 from weftline.operators.skew import detect_heavy_keys, key_counts, key_profile, rows_with_key_totals
 from weftline.plans.ranking import global_positions
+from weftline.plans.shared import Cut, scope
 from weftline.sources import datasets
 from weftline.sources.interactions import canonical, from_matrix, read_source
 from weftline.streaming import counts as streaming
@@ -132,6 +134,58 @@ def test_facet_strategies(spark):
         facets.recommend_by_facet(df, [], "o", "item", "region", strategy="nonsense")
 
 
+def test_rules_inside_slices(spark):
+    rows = [(1, "Pasta", "EU", 1), (1, "Wine", "EU", 2), (2, "Coffee", "BR", 1), (3, "Pasta", "EU", 1), (3, "Wine", "EU", 2), (4, "Salt", "EU", None)]
+    df = spark.createDataFrame(rows, "o int, item string, region string, t int")
+    found = facets.recommend_by_facet(df, ["Pasta"], "o", "item", "region", "rules", sort_col="t", extra_cols=["t"], sort_callback=lambda x: x.where("sort_column IS NOT NULL"))
+    assert {(r.slice, r.recommended_item): (r.total_strength, r.level) for r in found.collect()} == {("region=EU", "Wine"): (1.0, 0), ("region=BR", "Wine"): (1.5, 1), ("global", "Wine"): (1.5, 0)}
+    with pytest.raises(ValueError):
+        facets.recommend_by_facet(df, ["Pasta"], "o", "item", "region", "rules", metric="charm")
+
+
+def test_an_engine_finds_what_another_kept(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    rows = [("1", "a|b"), ("1", "c"), ("2", "a|b"), ("2", "c"), ("3", "d"), (None, "a"), ("4", None)]
+    df = spark.createDataFrame(rows, "o string, i string")
+    with Engine(spark, "kept_rows", path) as e:
+        assert e.load_interactions(df, "o", "i") == 5
+        e.association_rules(0.1)
+        e.fit_cf()
+        e.fit_graph()
+        assert e.load_interactions(df.limit(2), "o", "i", table_name="others") == 2 and e.table_exists("others")
+        assert e.load_interactions(df.limit(1), "o", "i", append=True, table_name="others") == 3
+        assert e.interactions.count() == 5
+    with Engine(spark, "kept_rows", path) as e:
+        assert e.interactions.count() == 5
+        assert e.recommend(["a|b"], "rules").first().recommended_item == "c"
+        assert e.recommend(["a|b"], "cf").first().recommended_item == e.recommend(["a|b"], "graph").first().recommended_item == "c"
+        assert e.load_interactions(df.limit(2), "o", "i", append=True) == 7
+        with pytest.raises(RuntimeError):
+            e.recommend(["a"], "rules")
+    assert Engine(spark, "kept_rows", path).interactions.count() == 7
+    assert Engine(spark, "kept_rows", str(tmp_path / "empty")).interactions is None
+
+
+def test_a_scope_drops_what_was_cut_inside(spark):
+    with scope():
+        inside = Cut(spark.range(3).toDF("x"))
+        assert inside.df.count() == 3
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(inside.path)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_windows_by_arithmetic(spark):
+    """Every instant is in the windows whose two ends hold it; on a border, in both."""
+    from weftline.operators.windows import Windows
+
+    for low, high, n in ((0, 1000, 7), (5, 5, 3), (-10, 3, 4), (1_600_000_000_000_000, 1_700_000_000_000_003, 13)):
+        w = Windows(n, low, high)
+        times = sorted({low, high, *(w.start(i) + d for i in range(n + 1) for d in (-1, 0, 1)), (low + high) // 2})
+        got = {r.us: sorted(r.win) for r in spark.createDataFrame([(t,) for t in times], "us long").select("us", w.ids(F.col("us")).alias("win")).collect()}
+        assert got == {t: [i for i in range(n) if w.start(i) <= t <= w.start(i + 1)] for t in times}
+
+
 def test_splits_are_exact(spark):
     df = spark.range(100).selectExpr("cast(id % 10 as string) as s", "id as t")
     train, test = evaluation.temporal_split(df, "t", 0.2)
@@ -153,9 +207,16 @@ def test_profiles(spark):
     assert "mine" in {r.label for r in p.summary().collect()}
     with pytest.warns(UserWarning):
         p.label({99: "none"})
-    assert profiling.recommend_by_profile(p, ["a3"]).first().item_id == "b3"
+    assert {c for c in p.summary().columns} >= {"cluster_id", "label", "dominant_metric", "size", "lift", "zhang"}
+    found = p.recommend(["a3"]).first()
+    held = p.cluster_of("b3")
+    assert (found.item_id, found.rule, found.cluster_id, found.dominant_metric) == ("b3", "a3 → b3", held["cluster_id"], held["dominant_metric"])
+    assert p.recommend(["a3"], cluster="mine").count() + p.recommend(["a0"], cluster="mine").count() == 1
+    with pytest.raises(ValueError):
+        p.recommend(["a3"], cluster="nothing")
     items = profiling.profile_items(rules, 1)
-    assert items.clusters[0]["size"] == 4 and profiling.recommend_by_archetype(items, rules, ["a3"]).first().item_id == "b3"
+    assert items.clusters[0]["size"] == 4 and items.recommend(["a3"]).first().item_id == "b3"
+    assert items.summary().first().members == ["b0", "b1", "b2", "b3"] and items.cluster_of("none") is None
     with pytest.raises(ValueError):
         profiling.profile_rules(rules.limit(0))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import aggregates, components, facets, mining, profiling, recommend, temporal
 from weftline.operators.graph import GraphModel
-from weftline.plans.shared import cut
+from weftline.plans.shared import cut, scope
 from weftline.sources import interactions as source
 from weftline.sources.session import session
 from weftline.sources.store import Store
@@ -54,10 +54,14 @@ class Engine:
             self._graph = GraphModel(found, stored_edges=edges, stored_totals=totals)
 
     def __enter__(self) -> Engine:
+        """Inside ``with``, intermediate tables go at the end, with the engine."""
+        self._scope = scope()
+        self._scope.__enter__()
         return self
 
     def __exit__(self, *_: object) -> None:
         self.close()
+        self._scope.__exit__(None, None, None)
 
     def __repr__(self) -> str:
         return f"Engine(view={self.view!r}, loaded={self.interactions is not None})"

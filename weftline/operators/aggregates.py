@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.temporal import ComponentTracker, SnapshotDiff
-from weftline.operators.windows import Windows, windowed_edges, windowed_pairs
+from weftline.operators.windows import Windows, windowed_edges, windowed_incidence, windowed_pairs
+from weftline.plans.shared import cut
 
 
 def _sd(n: int, s1: Column, s2: Column) -> Column:
@@ -92,13 +93,15 @@ class EdgeWindows:
 def graph_snapshots(df: DataFrame, n_windows: int = 4, min_cooccurrence: int = 1, tracker: ComponentTracker | None = None) -> DataFrame:
     """One row a window with activity: nodes, edges, density, sessions, arrivals and departures, and the tracker's components if given.
 
-    Departures count in the window after a node's last one.
+    Departures count in the window after a node's last one. Rows by window, set
+    and node are counted once, at the call, and written; all parts read them.
     """
     w = Windows.of(df, n_windows)
-    seen = w.tag(df).groupBy("win", "node_id").agg(F.count(F.lit(1)).alias("m"))
+    tagged = cut(windowed_incidence(df, w), "windowed")
+    seen = tagged.groupBy("win", "node_id").agg(F.sum("m").alias("m"))
     nodes = seen.groupBy("win").agg(F.count(F.lit(1)).alias("n_nodes"))
-    sessions = w.tag(df).select("win", "set_id").distinct().groupBy("win").agg(F.count(F.lit(1)).alias("n_sessions"))
-    edges = windowed_pairs(df, w, min_cooccurrence).groupBy("win").agg(F.count(F.lit(1)).alias("n_edges"))
+    sessions = tagged.select("win", "set_id").distinct().groupBy("win").agg(F.count(F.lit(1)).alias("n_sessions"))
+    edges = windowed_pairs(df, w, min_cooccurrence, tagged=tagged).groupBy("win").agg(F.count(F.lit(1)).alias("n_edges"))
     life = seen.groupBy("node_id").agg(F.min("win").alias("first"), F.max("win").alias("last"))
     new = life.groupBy(F.col("first").alias("win")).agg(F.count(F.lit(1)).alias("new_nodes"))
     gone = life.where(F.col("last") < n_windows - 1).groupBy((F.col("last") + 1).alias("win")).agg(F.count(F.lit(1)).alias("churned_nodes"))
@@ -110,7 +113,7 @@ def graph_snapshots(df: DataFrame, n_windows: int = 4, min_cooccurrence: int = 1
     pairs = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2.0
     out = out.withColumn("density", F.round(F.col("n_edges") / F.nullif(pairs, F.lit(0.0)), 4)).withColumn("avg_degree", F.round(2.0 * F.col("n_edges") / F.col("n_nodes"), 3))
     if tracker is not None:
-        sets = tracker.timeline(w).groupBy("win").agg(F.count_distinct("scc_id").alias("n_sccs"), F.max("scc_size").cast("long").alias("largest_scc_size"), F.count(F.lit(1)).alias("_members"))
+        sets = tracker.timeline(w, tagged if tracker.interactions is df and tracker.n_windows == n_windows else None).groupBy("win").agg(F.count_distinct("scc_id").alias("n_sccs"), F.max("scc_size").cast("long").alias("largest_scc_size"), F.count(F.lit(1)).alias("_members"))
         out = out.join(sets, "win", "left").withColumn("scc_coverage", F.round(F.coalesce("_members", F.lit(0)) / F.col("n_nodes"), 3))
         out = out.withColumn("n_sccs", F.coalesce("n_sccs", F.lit(0)).cast("long")).withColumn("largest_scc_size", F.coalesce("largest_scc_size", F.lit(0)).cast("long"))
     else:

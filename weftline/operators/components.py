@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.graph import cooccurrence, node_totals
+from weftline.operators.graph import cooccurrence, mirrored, node_totals, pair_counts
 from weftline.plans.ranking import range_offsets
 from weftline.plans.shared import Cut
 
@@ -14,10 +14,13 @@ from weftline.plans.shared import Cut
 SMALL_EDGES = 200_000
 
 
-def confident_edges(df: DataFrame, min_cooccurrence: int, min_confidence: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by.., source, target): co-occurrences over rows of the source, from ``min_confidence`` on."""
-    edges = cooccurrence(df, by, min_cooccurrence).alias("e")
-    totals = node_totals(df, by).alias("t")
+def confident_edges(df: DataFrame, min_cooccurrence: int, min_confidence: float, by: tuple[str, ...] = (), items: DataFrame | None = None) -> DataFrame:
+    """(by.., source, target): co-occurrences over rows of the source, from ``min_confidence`` on. ``items`` is the incidence of ``df``, where it is there already."""
+    if items is None:
+        edges, totals = cooccurrence(df, by, min_cooccurrence).alias("e"), node_totals(df, by).alias("t")
+    else:
+        edges = mirrored(pair_counts(items, by).where(F.col("weight") >= min_cooccurrence)).alias("e")
+        totals = items.groupBy(*by, "node_id").agg(F.sum("m").alias("total")).alias("t")
     on = [F.col(f"e.{b}") == F.col(f"t.{b}") for b in by] + [F.col("e.source") == F.col("t.node_id")]
     return edges.join(totals, on).where(F.col("weight") / F.col("total") >= min_confidence).select(*[F.col(f"e.{b}").alias(b) for b in by], "source", "target")
 

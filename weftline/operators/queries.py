@@ -215,7 +215,7 @@ def edge_lifecycle(spark, sf_dir):
 
 def graph_snapshots(spark, sf_dir):
     df = event_session(spark, sf_dir)
-    return aggregates.graph_snapshots(df, 4, 1, _tracker(spark, sf_dir))
+    return aggregates.graph_snapshots(df, 4, 1, temporal.ComponentTracker(df, 4, 2, 0.08))
 
 
 def community_metrics(spark, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.components import confident_edges, scc_table
 from weftline.operators.graph import GraphModel, best_rows, path_integral, seed_rows, simple_paths
-from weftline.operators.windows import Windows, windowed_edges
+from weftline.operators.windows import Windows, windowed_edges, windowed_incidence
 from weftline.plans.instants import from_micros, micros
 
 
@@ -127,10 +127,10 @@ class ComponentTracker:
     def windows(self) -> Windows:
         return Windows.of(self.interactions, self.n_windows)
 
-    def timeline(self, windows: Windows | None = None) -> DataFrame:
-        """(win, node, scc_id, scc_size, is_sink, members)."""
-        tagged = (windows or self.windows).tag(self.interactions).select("win", "set_id", "node_id")
-        return scc_table(confident_edges(tagged, self.min_cooccurrence, self.min_confidence, ("win",)), ("win",))
+    def timeline(self, windows: Windows | None = None, items: DataFrame | None = None) -> DataFrame:
+        """(win, node, scc_id, scc_size, is_sink, members). ``items`` is the windowed incidence, where it is there already."""
+        items = windowed_incidence(self.interactions, windows or self.windows) if items is None else items
+        return scc_table(confident_edges(self.interactions, self.min_cooccurrence, self.min_confidence, ("win",), items), ("win",))
 
     def evolution(self, threshold: float = 0.5) -> DataFrame:
         """(transition, event, prev_members, curr_members, jaccard) of consecutive windows.

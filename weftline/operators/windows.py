@@ -54,13 +54,18 @@ class Windows:
         return df.withColumn("win", F.explode(self.ids(micros(df, time_col))))
 
 
-def windowed_pairs(df: DataFrame, windows: Windows, min_count: int = 1, both_sides: bool = False) -> DataFrame:
+def windowed_incidence(df: DataFrame, windows: Windows) -> DataFrame:
+    """(win, set_id, node_id, m): rows of each node in each set by window."""
+    return windows.tag(df).groupBy("win", "set_id", "node_id").agg(F.count(F.lit(1)).alias("m"))
+
+
+def windowed_pairs(df: DataFrame, windows: Windows, min_count: int = 1, both_sides: bool = False, tagged: DataFrame | None = None) -> DataFrame:
     """(win, source, target, weight) with source < target, counted by row pairs.
 
     The window is that of the source row, whatever the time of the other, or of
-    both rows with ``both_sides``.
+    both rows with ``both_sides``. ``tagged`` is the windowed incidence, where it is there already.
     """
-    tagged = windows.tag(df).groupBy("win", "set_id", "node_id").agg(F.count(F.lit(1)).alias("m"))
+    tagged = windowed_incidence(df, windows) if tagged is None else tagged
     a = tagged.select("win", "set_id", F.col("node_id").alias("source"), F.col("m").alias("ma"))
     if both_sides:
         met = a.join(tagged.select("win", "set_id", F.col("node_id").alias("target"), F.col("m").alias("mb")), ["win", "set_id"])

@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_scopes: list[list[Cut]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Drops, at its end, every table cut inside it; results that read them must be stored or collected by then."""
+    held: list[Cut] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for c in held:
+            c.drop()
+
+
 class Cut:
-    """A table written to the shared folder; ``drop()`` removes its files."""
+    """A table written to the shared folder; ``drop()`` removes its files, as does the end of a :func:`scope` around it."""
 
     def __init__(self, df: DataFrame, name: str = "cut"):
         spark = df.sparkSession
@@ -44,6 +62,8 @@ class Cut:
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         self._spark = spark
+        if _scopes:
+            _scopes[-1].append(self)
 
     def drop(self) -> None:
         jvm = self._spark.sparkContext._jvm
