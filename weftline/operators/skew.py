@@ -94,9 +94,11 @@ def key_profile(df: DataFrame, fields: list[str], time_col: str, heavy: HeavyKey
     """Results per key that a plain group would pile up in one task.
 
     (field_name, key_value, n_rows, n_distinct_other, first_time, last_time,
-    is_heavy), where ``other`` is the second of the two ``fields``. Rows are first
-    grouped by key *and* other value, combined before the shuffle, which spreads
-    one key over all tasks; only the grouped rows meet by key.
+    is_heavy), where ``other`` is the second of the two ``fields``. Heavy keys:
+    rows are first grouped by key *and* other value, which spreads one key over
+    all tasks, and only the grouped rows meet by key. Other keys: one shuffle by
+    key, inside which distinct values are counted; few of their rows repeat, so
+    grouping them before would only add a second shuffle.
     """
     if len(fields) != 2:
         raise ValueError("key_profile takes two fields")
@@ -107,7 +109,7 @@ def key_profile(df: DataFrame, fields: list[str], time_col: str, heavy: HeavyKey
     partial = [F.count(F.lit(1)).alias("n_rows"), F.min("_time").alias("first_time"), F.max("_time").alias("last_time")]
     hot = hot.groupBy(*on, "other").agg(*partial).groupBy(*on)
     hot = hot.agg(F.sum("n_rows").alias("n_rows"), F.count("other").alias("n_distinct_other"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
-    rest = rest.groupBy(*on, "other").agg(*partial).groupBy(*on)
+    rest = rest.repartition(*on).groupBy(*on, "other").agg(*partial).groupBy(*on)
     rest = rest.agg(F.sum("n_rows").alias("n_rows"), F.count("other").alias("n_distinct_other"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
     return hot.withColumn("is_heavy", F.lit(True)).unionByName(rest.withColumn("is_heavy", F.lit(False)))
 
