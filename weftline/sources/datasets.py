@@ -46,16 +46,43 @@ Playlist_Bridge,Wish You Were Here
 Playlist_Bridge,So What
 """
 HEADLINES = """
-S1,Economy,Interest Rates,Inflation
-S2,Economy,Interest Rates,Recession
-S3,Federal Reserve,Interest Rates,Economy
-S4,Tech,AI,Silicon Valley
-S5,Tech,AI,Nvidia
-S6,Generative AI,AI,GPU
-S7,AI,Economy,Jobs
+S1,Economy,1
+S1,Interest Rates,2
+S1,Inflation,3
+S2,Economy,1
+S2,Interest Rates,2
+S2,Recession,3
+S3,Federal Reserve,1
+S3,Interest Rates,2
+S3,Economy,3
+S4,Tech,1
+S4,AI,2
+S4,Silicon Valley,3
+S5,Tech,1
+S5,AI,2
+S5,Nvidia,3
+S6,Generative AI,1
+S6,AI,2
+S6,GPU,3
+S7,AI,1
+S7,Economy,2
+S7,Jobs,3
 """
-GAMES = {"P1": "Mario Zelda", "P2": "Zelda Metroid", "P3": "Metroid Mario", "P4": "Halo CoD", "P5": "CoD Battlefield", "P6": "Battlefield Halo"}
-CHAINS = [("A B C", 0.8), ("D E", 0.9), ("F G H I", 0.7)]
+GAMES = """
+P1,Mario
+P1,Zelda
+P2,Zelda
+P2,Metroid
+P3,Metroid
+P3,Mario
+P4,Halo
+P4,CoD
+P5,CoD
+P5,Battlefield
+P6,Battlefield
+P6,Halo
+"""
+CHAINS = [(["A", "B", "C"], 0.8), (["D", "E"], 0.9), (["F", "G", "H", "I"], 0.7)]
 
 
 def _lines(text: str) -> list[list[str]]:
@@ -92,12 +119,12 @@ def playlists(spark: SparkSession) -> DataFrame:
 
 
 def headlines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, t, i + 1) for s, *ts in _lines(HEADLINES) for i, t in enumerate(ts)], "sentence_id string, token string, pos int")
+    return spark.createDataFrame([(s, t, int(k)) for s, t, k in _lines(HEADLINES)], "sentence_id string, token string, pos int")
 
 
 def filter_bubble(spark: SparkSession) -> DataFrame:
     """Two closed groups of games, 50 times each session, and five users who lead into one of them."""
-    rows = [(u, g) for _ in range(50) for u, games in GAMES.items() for g in games.split()]
+    rows = [(u, g) for _ in range(50) for u, g in _lines(GAMES)]
     rows += [(f"Bridge_User_{i}", g) for i in range(5) for g in ("Generic_Game", "Mario")]
     return spark.createDataFrame(rows, "user_id string, game_title string")
 
@@ -158,7 +185,7 @@ def directed_sequences(spark: SparkSession, n_trials: int = 100, seed: int = 0)
     """Trials of three chains; each step is taken with the chain's probability, else the trial ends."""
     s = F.col("id")
     which = below(len(CHAINS), seed, "chain", s)
-    steps = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c.split()]) for c, _ in CHAINS]), which + 1)
+    steps = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c, _ in CHAINS]), which + 1)
     keep = F.element_at(F.array(*[F.lit(p) for _, p in CHAINS]), which + 1)
     taken = sum((F.when(F.lit(True), uniform(seed, "go", s, F.lit(k)) < keep).cast("int") * F.lit(1 << (3 - k)) for k in range(1, 4)), F.lit(0))
     length = F.when(taken < 4, 1).when(taken < 6, 2).when(taken < 7, 3).otherwise(4)
