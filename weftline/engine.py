@@ -128,16 +128,18 @@ class Engine:
         return self.interactions
 
     def frequent_itemsets(self, min_support: float = 0.05, max_len: int | None = None, **kw: Any) -> DataFrame:
-        return mining.frequent_itemsets(self._loaded(), min_support, max_len, **kw)
+        """By length, then falling support."""
+        return mining.frequent_itemsets(self._loaded(), min_support, max_len, **kw).orderBy("length", F.desc("support"), "itemset")
 
     def association_rules(self, min_support: float = 0.05, min_confidence: float = 0.1, min_lift: float = 0.0, max_antecedent_len: int | None = None, itemsets: DataFrame | None = None) -> DataFrame:
-        """Mined rules, written once, since recommendations and profiles read them again."""
-        found = itemsets if itemsets is not None else self.frequent_itemsets(min_support)
+        """Mined rules by falling lift; written once, since recommendations and profiles read them again."""
+        found = itemsets if itemsets is not None else mining.frequent_itemsets(self._loaded(), min_support)
         self._rules = self._keep("rules", mining.association_rules(found, min_confidence, min_lift, max_antecedent_len))
         return mining.by_lift(self._rules)
 
     def sequential_patterns(self, **kw: Any) -> DataFrame:
-        return mining.sequential_patterns(self._loaded(), **kw)
+        """By falling support."""
+        return mining.sequential_patterns(self._loaded(), **kw).orderBy(F.desc("support"), "pattern")
 
     def find_sink_sccs(self, min_cooccurrence: int = 5, min_confidence: float = 0.0) -> DataFrame:
         return components.sink_components(self._loaded(), min_cooccurrence, min_confidence)

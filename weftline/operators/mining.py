@@ -18,14 +18,12 @@ def frequent_itemsets(df: DataFrame, min_support: float = 0.05, max_len: int | N
 
     Support is rows (row pairs) over distinct sets, so repeated rows raise it;
     ``distinct`` counts sets instead, as do itemsets of three nodes and more.
-    Rows by set and node are counted once, at the call, and written; levels read them.
-    In order of length, then falling support.
     """
     if not 0 < min_support <= 1:
         raise ValueError("min_support must be in (0, 1]")
     known = df.where(F.col("set_id").isNotNull() & F.col("node_id").isNotNull())
-    items = cut(incidence(known, distinct=distinct), "incidence")
-    n = items.agg(F.count_distinct("set_id").alias("_n"))
+    items = incidence(known, distinct=distinct)
+    n = known.agg(F.count_distinct("set_id").alias("_n"))
     share = (F.col("c") / F.col("_n")).alias("support")
     singles = items.groupBy("node_id").agg(F.sum("m").alias("c")).crossJoin(F.broadcast(n)).select(F.array("node_id").alias("items"), share).where(F.col("support") >= min_support)
     levels = [singles]
@@ -42,7 +40,7 @@ def frequent_itemsets(df: DataFrame, min_support: float = 0.05, max_len: int | N
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out.select(F.array_join("items", SEP).alias("itemset"), "support", F.size("items").alias("length"), "items").orderBy("length", F.desc("support"), "itemset")
+    return out.select(F.array_join("items", SEP).alias("itemset"), "support", F.size("items").alias("length"), "items")
 
 
 def _held_pairs(items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def _grow(items: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.1, min_lift: float = 0.0, max_antecedent_len: int | None = None) -> DataFrame:
-    """(antecedents, consequents, support, confidence, lift, leverage, conviction, zhang, antecedent_items) from itemsets with their ``items``, by falling lift.
+    """(antecedents, consequents, support, confidence, lift, leverage, conviction, zhang, antecedent_items) from itemsets with their ``items``.
 
     Every proper part of an itemset is tried as antecedent, by equi-joins on the
     parts. Itemsets are looked at three times, so they are written once.
@@ -79,7 +77,7 @@ def association_rules(itemsets: DataFrame, min_confidence: float = 0.1, min_lift
     joined = parts.join(known.select(F.col("items").alias("ants"), F.col("support").alias("s_a")), "ants").join(known.select(F.col("items").alias("cons"), F.col("support").alias("s_b")), "cons")
     measures = rule_measures(F.col("s_ab"), F.col("s_a"), F.col("s_b"))
     out = joined.select(F.array_join("ants", SEP).alias("antecedents"), F.array_join("cons", SEP).alias("consequents"), *[x.alias(m) for m, x in measures.items()], F.col("ants").alias("antecedent_items"))
-    return by_lift(out.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)))
+    return out.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
 
 
 def rule_measures(s_ab: Column, s_a: Column, s_b: Column) -> dict[str, Column]:
@@ -135,4 +133,4 @@ def sequential_patterns(df: DataFrame, timestamp_col: str = "event_time", min_su
         met = df.withColumn("_ahead", ahead).select("set_id", F.col("node_id").alias("prefix"), F.col(timestamp_col).alias("t0"), F.explode("_ahead").alias("x")).where(F.col("t0") < F.col("x.t"))
         counted = met.groupBy("prefix", F.col("x.node").alias("suffix")).agg(F.count_distinct("set_id").alias("count"))
     shared = counted.crossJoin(F.broadcast(n)).withColumn("support", F.col("count") / F.col("_n")).where(F.col("support") >= min_support)
-    return shared.select("prefix", "suffix", F.concat_ws(" -> ", "prefix", "suffix").alias("pattern"), "count", "support").orderBy(F.desc("support"), "pattern")
+    return shared.select("prefix", "suffix", F.concat_ws(" -> ", "prefix", "suffix").alias("pattern"), "count", "support")
