@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.stretches import stretches
+from weftline.llm.stretches import spread, stretches
 from weftline.llm.wording import NO_SPACES, Wording, fit_wording, read_words, windows
 from weftline.plans.shared import Cut
 
@@ -607,7 +607,8 @@ def learn_wording(docs: DataFrame, judgements: DataFrame, id_col: str = "doc_id"
     chosen = pick(F.col("m") > 0.5, max_condemned, True).unionByName(pick(F.col("m") < 0.5, max_clean, False))
     group = F.coalesce(F.col(group_col), F.col(id_col)) if group_col else F.col(id_col)
     judged = docs.select(group.cast("long").alias("grp"), F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc").select("grp", F.col("doc").cast("long").alias("doc"), "bad", "text")
-    read = Cut(judged.mapInArrow(_read_clauses, "clause array<string>, grp long, doc long, bad boolean"), "clauses")
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    read = Cut(judged.repartitionByRange(tasks, "doc").mapInArrow(_read_clauses, "clause array<string>, grp long, doc long, bad boolean"), "clauses")
     sizes = {r.bad: r.n for r in read.df.groupBy("bad").agg(F.count_distinct("doc").alias("n")).collect()}
     met = read.df.groupBy("clause").agg(F.collect_list(F.when(F.col("bad"), F.struct("grp", "doc"))).alias("docs"), F.sum(F.when(F.col("bad"), 0).otherwise(1)).alias("n"))
     fitted = met.coalesce(1).mapInArrow(_fit_partition(extra, sizes.get(True, 0), sizes.get(False, 0)), "model binary").collect()
@@ -620,11 +621,11 @@ def score_texts(df: DataFrame, id_cols: list[str], text_col: str = "text", terms
 
     ``terms`` (term, category) adds to the lexicon; more than ``max_terms`` are
     an error, since the lexicon goes to every task. ``wording`` adds words and
-    weights of their context learned from judgements. One pass, no shuffle;
-    whole texts are read, markup and comments included. From ``FLAG_FROM`` on a
+    weights of their context learned from judgements. One pass, and
+    no shuffle unless files are fewer than tasks; whole texts are read, markup and comments included. From ``FLAG_FROM`` on a
     document counts as a case.
     """
-    rows = df.select(*id_cols, text_col)
+    rows = spread(df.select(*id_cols, text_col), id_cols[0])
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in id_cols) + ", score double, category string"
     return rows.mapInArrow(_score_partition(tuple(_extra_terms(terms, max_terms)), pickle.dumps(wording or Wording())), schema)
