@@ -277,7 +277,7 @@ def oracle_sql() -> dict[str, str]:
         "recommend_by_archetype": on("basket_brand", RULES.format(lift=0)) + profile.format(shown="support_mean"),
         "interactions_edges": on("interactions", edges(20)) + " FROM e",
         "interactions_itemsets": on("interactions", ITEMSETS.replace("0.03", "0.01")) + " SELECT itemset, round(support, 6) AS support, length FROM (FROM f1 UNION ALL FROM f2)",
-        "interactions_rules": on("interactions", _RULES_OF_ANY) + f" SELECT {RULE_COLS} FROM rules",
+        "interactions_rules": on("interactions", _RULES_OF_ANY) + f" SELECT {RULE_COLS} FROM rules".replace("round(conviction, 6)", "round(least(conviction, 1e6), 6)"),
         "interactions_recommend_rules": on("interactions", _RULES_OF_ANY) + ", s AS (SELECT node_id FROM t ORDER BY total DESC, node_id LIMIT 2), m AS (SELECT consequents AS item_id, lift, antecedents || ' -> ' || consequents AS rule FROM rules WHERE antecedents IN (FROM s) AND consequents NOT IN (FROM s) "
         "QUALIFY row_number() OVER (PARTITION BY consequents ORDER BY round(lift, 9) DESC, rule) = 1) SELECT item_id, round(lift, 6) AS score, rule FROM m ORDER BY round(lift, 9) DESC, item_id LIMIT 10",
         "interactions_cf": similarity("interactions", "cosine", 8, 10) + " SELECT item_a, item_b, round(score, 6) AS score FROM sim",

@@ -319,7 +319,9 @@ def _interaction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interactions_rules(spark, sf_dir):
-    return rounded(_interaction_rules(spark, sf_dir).drop("antecedent_items"), *mining.METRICS)
+    """Convictions over a million, those of sure rules, are cut there: they only show the rounding of a confidence of 1."""
+    rules = _interaction_rules(spark, sf_dir).drop("antecedent_items")
+    return rounded(rules.withColumn("conviction", F.least("conviction", F.lit(1e6))), *mining.METRICS)
 
 
 def interactions_recommend_rules(spark, sf_dir):
