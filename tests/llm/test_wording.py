@@ -76,3 +76,18 @@ def test_reading():
     assert {w for p in parts for w in p} == set(long) and all(len(p) <= CLAUSE_WORDS for p in parts)
     assert features(long, {}) == set().union(*(features(p, {}) for p in parts))
     assert ("a", "#insult") in features(["a", "1900", "moron"], {"moron": ("#insult",)}) and clauses(None) == set()
+
+
+def test_ordinary_words_keep_their_letters():
+    wording = Wording({"delete": 0.45, ("delete", "yourself"): 5.0}, frozenset({"delete", ("delete", "yourself")}), frozenset({"delete"}), -2.7, frozenset("this section is badly written and should be deleted in my opinion".split()))
+    scorer = Scorer(wording=wording)
+    assert scorer.score("This section is badly written and should be deleted in my opinion.")[0] < FLAG_FROM
+    for text in ("Delete yourself.", "Delet eyourself.", "you stupid moro n", "yo uidiot"):
+        assert scorer.score(text)[0] >= FLAG_FROM
+
+
+def test_words_that_speak_against_abuse_list_nothing():
+    for bias in (-5.0, -2.0):
+        wording = Wording({"blorf": 0.4, "keeper": -0.6, ("blorf", "scum"): 6.0}, frozenset({"blorf"}), frozenset({"blorf"}), bias)
+        scorer = Scorer(wording=wording)
+        assert scorer.score("The keeper has a blorf.")[0] < FLAG_FROM <= scorer.score("A blorf of scum.")[0]

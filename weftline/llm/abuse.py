@@ -417,10 +417,12 @@ class Scorer:
             if any(start <= at < end for at in cued):
                 for part in windows(read_words(words[start:end])):
                     odds = self.wording.log_odds(part, self.categories)
-                    if odds > LEARNED_FROM - 3:
+                    # words that together speak against abuse list nothing, however high the model sets off
+                    least = max(LEARNED_FROM, self.wording.bias)
+                    if odds > least - 3:
                         kinds = [k[1:] for w in part for k in self.categories.get(w, ()) if k not in ("#to", "#report")]
                         kind = max(kinds, key=lambda k: (kinds.count(k), k), default="other")
-                        best[kind] = max(best[kind], min(2.0, FLAG_FROM + (odds - LEARNED_FROM) / 4))
+                        best[kind] = max(best[kind], min(2.0, FLAG_FROM + (odds - least) / 4))
 
     def look_up(self, token: str) -> tuple[tuple[tuple[int, bool], ...], bool]:
         """The lexicon words a token may stand for, each with whether it does so to the letter; and whether a letter may have slipped into or out of it."""
@@ -458,12 +460,13 @@ class Scorer:
         return tuple((i, False) for i in self.trie.near(word, 1) if len(self.trie.words[i]) >= least)
 
     def _put_back(self, tokens: list[str], at: int) -> None:
-        """Puts a letter that slipped over the blank after token ``at`` back, where that gives a word of the lexicon."""
+        """Puts a letter that slipped over the blank after token ``at`` back, where that gives a word of the lexicon; a word of the lexicon or an ordinary one lost none."""
         a, b, exact = tokens[at], tokens[at + 1], self.trie.exact
-        if not (a.isalpha() and b.isalpha()):
+        odd_a, odd_b = (w not in exact and w not in self.ordinary for w in (a, b))
+        if not (a.isalpha() and b.isalpha() and (odd_a or odd_b)):
             return
         for x, y in ((a[:-1], a[-1] + b), (a + b[0], b[1:])):
-            if (x in exact and y in exact) or (len(x) > 3 and x in exact and a not in exact) or (len(y) > 3 and y in exact and b not in exact):
+            if (x in exact and y in exact) or (len(x) > 3 and x in exact and odd_a) or (len(y) > 3 and y in exact and odd_b):
                 tokens[at], tokens[at + 1] = x, y
                 return
 
