@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from weftline.operators import aggregates, temporal
-from weftline.operators.windows import Windows
+from weftline.operators.windows import Windows, windowed_edges
 from weftline.sources import datasets
 from weftline.sources.interactions import canonical
 
@@ -85,3 +85,15 @@ def test_report_has_all_parts(sessions):
     assert all(r.cohesion >= 0 for r in report["communities"].collect())
     diagonal = report["synchrony"].where("node_a = node_b AND correlation IS NOT NULL").collect()
     assert diagonal and all(r.correlation == 1.0 for r in diagonal)
+
+
+def test_pairs_of_wide_sets_are_not_shuffled(spark):
+    times = [dt.datetime(2024, 1, d) for d in (1, 2, 9)]
+    wide = [("s", f"n{i:03}", times[i % 2 * 2]) for i in range(150)] + [("s", "n000", times[1]), ("s", "n002", None)]
+    df = spark.createDataFrame(wide + [("t", "n000", times[2]), ("t", "n001", times[2])], "set_id string, node_id string, sort_column timestamp_ntz")
+    edges = windowed_edges(df, Windows.of(df, 2))
+    shuffles = [x for x in edges._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert shuffles and not any("source" in x or "target" in x for x in shuffles)
+    found = {(r.win, r.source, r.target): r.weight for r in edges.collect()}
+    assert len(found) == 150 * 149 + 1 and found[0, "n000", "n001"] == 2 and found[1, "n001", "n000"] == 3 and found[1, "n000", "n001"] == 1
+    assert found[0, "n004", "n002"] == 2 and found[0, "n002", "n004"] == 1 and (1, "n002", "n004") not in found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.instants import from_micros, micros
@@ -76,9 +76,55 @@ def windowed_pairs(df: DataFrame, windows: Windows, min_count: int = 1, both_sid
     return met.groupBy("win", "source", "target").agg(F.sum(F.col("ma") * F.col("mb")).alias("weight")).where(F.col("weight") >= min_count)
 
 
+#: Sets of more nodes than this, and than twice the tasks, are paired where their sources are counted.
+WIDE = 64
+
+
+def _task_keys(spark: SparkSession, tasks: int) -> list[int]:
+    """An integer for each of ``tasks`` partitions that hashing sends there, so that each task gets one."""
+    keys = spark.range(64 * tasks, numPartitions=1).select(F.col("id").cast("int").alias("key"))
+    found = {r.at: r.key for r in keys.select("key", F.pmod(F.hash("key"), F.lit(tasks)).alias("at")).collect()}
+    return list(found.values())
+
+
+def _half_pairs(df: DataFrame, windows: Windows) -> DataFrame:
+    """(block, win, source, target, there, back) with source < target: the weights of both directions, in parts that a sum by these keys completes.
+
+    Rows go to the task of their set, which counts them and adds up the pairs of
+    its narrow sets. Only these sums go on, to the task of their source. Pairs
+    of wide sets, n squared of them, are not sent: the n nodes go to every task,
+    which pairs those that are its sources.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.array(*[F.lit(k) for k in _task_keys(spark, tasks)])
+    task = lambda c: F.element_at(keys, F.pmod(F.hash(c), F.size(keys)) + 1)
+    us, every = micros(df, "sort_column"), range(windows.n)
+    inside = [F.lit(False) if windows.low is None else F.coalesce(us.between(windows.start(i), windows.start(i + 1)), F.lit(False)) for i in every]
+    rows = df.where(F.col("set_id").isNotNull() & F.col("node_id").isNotNull()).select(task("set_id").alias("part"), "set_id", "node_id", *[x.alias(f"w{i}") for i, x in enumerate(inside)])
+    held = rows.repartition(tasks, "part").groupBy("part", "set_id", "node_id").agg(F.count(F.lit(1)).alias("m"), *[F.count_if(f"w{i}").alias(f"w{i}") for i in every])
+    node = F.struct(F.col("node_id").alias("node"), "m", F.array(*[f"w{i}" for i in every]).alias("w"))
+    sets = held.groupBy("part", "set_id").agg(F.array_sort(F.collect_list(node)).alias("nodes"), *[F.max(f"w{i}").alias(f"w{i}") for i in every])
+    wins = F.array_compact(F.array(*[F.when(F.col(f"w{i}") > 0, F.lit(i)) for i in every]))
+    sets = sets.where((F.size("nodes") > 1) & (F.size(wins) > 0)).select("part", wins.alias("wins"), "nodes")
+    wide = F.size("nodes") > max(WIDE, 2 * tasks)
+    later = F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("b")
+    ends = [F.col("a.node").alias("source"), F.col("b.node").alias("target")]
+    there, back = lambda win: F.element_at("a.w", win + 1) * F.col("b.m"), lambda win: F.element_at("b.w", win + 1) * F.col("a.m")
+
+    near = sets.where(~wide).select("part", F.explode("wins").alias("win"), "nodes").select("part", "win", "nodes", F.posexplode("nodes").alias("i", "a")).select("part", "win", "a", later)
+    near = near.groupBy("part", "win", *ends).agg(F.sum(there(F.col("win"))).alias("there"), F.sum(back(F.col("win"))).alias("back"))
+    near = near.select(task("source").alias("block"), "win", "source", "target", "there", "back").where("there > 0 OR back > 0").repartition(tasks, "block")
+
+    far = sets.where(wide).select(F.explode(keys).alias("block"), "nodes").repartition(tasks, "block")
+    far = far.select("block", "nodes", F.posexplode("nodes").alias("i", "a")).where(F.col("block") == task("a.node")).select("block", "a", later)
+    far = far.groupBy("block", *ends).agg(*[F.sum(f(F.lit(i))).alias(f"{n}{i}") for i in every for n, f in (("there", there), ("back", back))])
+    far = far.select("block", "source", "target", F.inline(F.array(*[F.struct(F.lit(i).alias("win"), F.col(f"there{i}").alias("there"), F.col(f"back{i}").alias("back")) for i in every])))
+    return near.unionByName(far.where("there > 0 OR back > 0"))
+
+
 def windowed_edges(df: DataFrame, windows: Windows, min_count: int = 1) -> DataFrame:
     """(win, source, target, weight) in both directions; each counts in the windows of its own source rows."""
-    tagged = windows.tag(df).groupBy("win", "set_id", "node_id").agg(F.count(F.lit(1)).alias("ma"))
-    rows = df.groupBy("set_id", "node_id").agg(F.count(F.lit(1)).alias("mb"))
-    met = tagged.withColumnRenamed("node_id", "source").join(rows.withColumnRenamed("node_id", "target"), "set_id").where(F.col("source") != F.col("target"))
-    return met.groupBy("win", "source", "target").agg(F.sum(F.col("ma") * F.col("mb")).alias("weight")).where(F.col("weight") >= min_count)
+    pairs = _half_pairs(df, windows).groupBy("block", "win", "source", "target").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
+    ways = F.array(F.struct("source", "target", F.col("there").alias("weight")), F.struct(F.col("target").alias("source"), F.col("source").alias("target"), F.col("back").alias("weight")))
+    return pairs.select("win", F.inline(F.filter(ways, lambda x: x["weight"] >= max(min_count, 1))))
