@@ -2,6 +2,7 @@
 
 import pytest
 
+from weftline.operators.mining import METRICS
 from weftline.operators.queries import queries
 
 
@@ -15,3 +16,8 @@ def folder(spark, tmp_path):
 def test_no_rules_recommend_by_archetype(spark, folder):
     found = queries()["recommend_by_archetype"](spark, folder)
     assert found.columns == ["item_id", "score", "cluster_id", "dominant_metric", "rule"] and found.count() == 0
+
+
+def test_no_rules_rule_profiles(spark, folder):
+    found = queries()["rule_profiles"](spark, folder)
+    assert found.columns == ["cluster_id", "label", "dominant_metric", "size", *METRICS] and found.count() == 0
