@@ -26,3 +26,8 @@ def test_no_rules_rule_profiles(spark, folder):
 def test_no_rules_item_profiles(spark, folder):
     found = queries()["item_profiles"](spark, folder)
     assert found.columns[:4] == ["cluster_id", "label", "dominant_metric", "size"] and found.columns[-2:] == ["rule_count", "members"] and found.count() == 0
+
+
+def test_no_rules_recommend_by_profile(spark, folder):
+    found = queries()["recommend_by_profile"](spark, folder)
+    assert found.columns == ["item_id", "score", "cluster_id", "dominant_metric", "rule"] and found.count() == 0
